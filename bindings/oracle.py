@@ -85,7 +85,7 @@ def age_group_sql(age: str) -> str:
 def band_sql(value: str) -> str:
     labels = rules.HBA1C_LABELS
     return (
-        f"CASE WHEN {value} >= 9 THEN '{labels[4]}' WHEN {value} >= 6.5 THEN '{labels[3]}' "
+        f"CASE WHEN {value} >= 9 OR {value} IS NULL THEN '{labels[4]}' WHEN {value} >= 6.5 THEN '{labels[3]}' "
         f"WHEN {value} >= 5.7 THEN '{labels[2]}' WHEN {value} >= 4 THEN '{labels[1]}' ELSE '{labels[0]}' END"
     )
 
