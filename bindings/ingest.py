@@ -23,33 +23,46 @@ RECORDS = tuple(schemas.RECORDS)
 LOADED_AT = dt.datetime(2024, 3, 1, 12, 0, 0)
 
 
+PER_FILE = 500
+
+
 def _write_files(d: Data) -> str:
-    """The readable customer bundles as one JSON file per patient."""
+    """One JSON file per range of 500 customer numbers, each one bundle of their patients.
+
+    Customer numbers are unique, so a bundle has at most 500 entries at any scale.
+    """
     folder = shared.shared_dir(d.spark, "bundles")
-    docs = d.bundles("customer").select(
-        F.from_json(
-            "value", "resourceType string, id string, entry array<struct<fullUrl:string,resource:variant>>"
-        ).alias("doc")
+    patients = bundles.explode_resources(bundles.decode_bundles(d.bundles("customer"))).filter(
+        "resource_type = 'Patient'"
+    )
+    number = F.floor(F.substr("bundle_id", F.lit(2)).cast("long") / PER_FILE)
+    docs = patients.groupBy(number.cast("string").alias("id")).agg(
+        F.lit("Bundle").alias("resourceType"),
+        F.collect_list(F.struct(F.parse_json("resource").alias("resource"))).alias("entry"),
     )
-    docs.filter("doc.id IS NOT NULL").select("doc.*").write.option("maxRecordsPerFile", 1).json(folder)
+    docs.write.option("maxRecordsPerFile", 1).json(folder)
     return folder
 
 
-def _number(df: DataFrame) -> DataFrame:
-    return df.select(F.get_json_object("value", "$.id").cast("long").alias("c_custkey"))
+def _entries(files: DataFrame) -> DataFrame:
+    return bundles.decode_bundles(files).select(
+        F.get_json_object("value", "$.id").alias("id"), F.size("entry").cast("long").alias("entries"), "bad"
+    )
 
 
 register(
     "S01_read_bundles",
-    lambda d: _number(bundles.read_bundles(d.spark, _write_files(d))),
-    f"SELECT c_custkey FROM customer WHERE {FILLED}",
+    lambda d: _entries(bundles.read_bundles(d.spark, _write_files(d))),
+    f"SELECT cast(c_custkey // {PER_FILE} AS varchar) AS id, count(*) AS entries, false AS bad "
+    f"FROM customer WHERE {FILLED} GROUP BY 1",
 )
 register(
     "S02_first_bundles",
-    lambda d: bundles.read_bundles(d.spark, _write_files(d), limit=5).agg(
+    lambda d: bundles.read_bundles(d.spark, _write_files(d), limit=2).agg(
         F.countDistinct("bundle_id").alias("n"), F.count_if(F.col("bundle_id").endswith(".json")).alias("files")
     ),
-    f"SELECT count(*) AS n, count(*) AS files FROM (SELECT 1 FROM customer WHERE {FILLED} LIMIT 5)",
+    f"SELECT least(2, count(DISTINCT c_custkey // {PER_FILE})) AS n, least(2, count(DISTINCT c_custkey // {PER_FILE})) AS files "
+    f"FROM customer WHERE {FILLED}",
 )
 register(
     "S03_decode",
@@ -89,7 +102,7 @@ register(
 
 
 def _flat(d: Data) -> dict[str, DataFrame]:
-    return flatten.flatten_all(bundles.stage_bundles(d.bundles()).resources)
+    return flatten.flatten_all(_staged(d))
 
 
 def _parsed(d: Data) -> str:
@@ -224,6 +237,10 @@ def _resources(d: Data, *sources: str) -> DataFrame:
     return bundles.explode_resources(bundles.decode_bundles(d.bundles(*sources)))
 
 
+def _staged(d: Data, *sources: str) -> DataFrame:
+    return bundles.stage_bundles(d.bundles(*sources)).resources
+
+
 register(
     "N01_explode_resources",
     lambda d: _resources(d, "customer").select("bundle_id", F.col("pos").cast("long").alias("pos"), "resource_type"),
@@ -290,13 +307,13 @@ register(
 )
 register(
     "N10_flatten_medication_requests",
-    lambda d: flatten.flatten_medication_requests(_resources(d, "orders")),
+    lambda d: flatten.flatten_medication_requests(_staged(d, "orders")),
     "SELECT * FROM doc_medication_requests",
 )
 # J07 is the bundle-local resolution inside N10: the rows it fills, and from where.
 register(
     "J07_resolved_references",
-    lambda d: flatten.flatten_medication_requests(_resources(d, "orders"))
+    lambda d: flatten.flatten_medication_requests(_staged(d, "orders"))
     .filter("code_system IN ('sys-a', 'sys-b', 'sys-c')")
     .select("medication_request_id", "medication_code"),
     "SELECT medication_request_id, medication_code FROM doc_medication_requests WHERE code_system IN ('sys-b', 'sys-c')",

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spark's own cast also takes '2012' and '2012-05'; a loadable date has all three parts.
-FULL_DATE = r"^\s*\d{4,}-\d{1,2}-\d{1,2}"
-
-
 def years_between(start: Column, end: Column) -> Column:
     """Year boundaries crossed (31 Dec -> 1 Jan is one)."""
     return (F.year(end) - F.year(start)).cast("long")
@@ -27,4 +23,6 @@ def days_between(start: Column, end: Column) -> Column:
 
 
 def has_full_date(text: Column) -> Column:
-    return text.rlike(FULL_DATE)
+    """Text starts like yyyy-m-d; Spark's own cast would also take '2012' and '2012-05'."""
+    date = F.ltrim(text)
+    return (F.locate("-", date) == 5) & F.locate("-", date, 6).between(7, 8)

@@ -95,8 +95,11 @@ def flatten_conditions(resources: DataFrame) -> DataFrame:
 def medication_lookup(resources: DataFrame) -> DataFrame:
     """(bundle_id, medication_id) -> first coding; the last resource with an id wins."""
     medications = (
-        _typed(resources, "Medication")
-        .filter((_at("id") != "") & _at("id").isNotNull())
+        resources.filter(F.col("resource_type") == "Medication")
+        .filter(F.get_json_object("resource", "$.id") != "")
+        .select(
+            "bundle_id", "pos", F.from_json("resource", schemas.RESOURCES["Medication"]).alias("r")
+        )
         .select(
             "bundle_id",
             "pos",
@@ -120,7 +123,8 @@ def flatten_medication_requests(resources: DataFrame) -> DataFrame:
     """
     inline = _at("medicationCodeableConcept", "coding", 0)
     inline_code = inline["code"]
-    needs = (inline_code.isNull() | (inline_code == "")) & _ref("medicationReference").isNotNull()
+    refers = F.coalesce(_ref("medicationReference") != "", F.lit(False))
+    needs = (inline_code.isNull() | (inline_code == "")) & refers
     requests = _typed(resources, "MedicationRequest").select(
         "bundle_id",
         needs.alias("_needs"),

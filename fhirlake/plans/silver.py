@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fhirlake.functions import dates, rules
 from fhirlake.operators.dedupe import latest_by
+from fhirlake.sources.catalog import materialize
+from fhirlake.sources.shared import run_together
 
 _AUDIT = ("load_timestamp", "load_batch_id")
 
@@ -146,3 +149,22 @@ def build_silver(bronze: Mapping[str, DataFrame], as_of: dt.date | str | None =
     for name, (record, build) in MODELS.items():
         built[name] = build(bronze[record], as_of) if record == "patients" else build(bronze[record])
     return built
+
+
+def materialize_silver(
+    bronze: Mapping[str, DataFrame],
+    as_of: dt.date | str | None = None,
+    layer: str = "silver",
+    buckets: int | None = None,
+) -> dict[str, DataFrame]:
+    """Rebuild all five silver tables; they do not depend on each other and run together.
+
+    With ``buckets`` every table is bucketed by patient, the key of all later joins.
+    """
+
+    def build(name: str, df: DataFrame) -> DataFrame:
+        return materialize(df, layer, name, "patient_id" if buckets else None, buckets)
+
+    models = build_silver(bronze, as_of)
+    tables = run_together([partial(build, name, df) for name, df in models.items()])
+    return dict(zip(models, tables))

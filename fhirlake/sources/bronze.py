@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
-from contextlib import contextmanager
-from functools import reduce
+import re
+from functools import partial, reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fhirlake import schemas
 from fhirlake.sources.parsed import cast_to, check_inputs, read_parsed
+from fhirlake.sources.shared import run_together
 
 BRONZE = "bronze"
 # Layer names and the batch label format.
@@ -54,15 +55,22 @@ def stamp_audit(df: DataFrame, batch_id: str, ts: dt.datetime | None = None) ->
     )
 
 
-@contextmanager
-def _overwrite_scope(spark: SparkSession, scope: str) -> Iterator[None]:
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, scope)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def _insert(rows: DataFrame, table: str, batch_id: str, overwrite: bool) -> None:
+    """Into the partition of one batch: a static partition needs no sort before the write."""
+    if not re.fullmatch(r"[\w.:-]+", batch_id):
+        raise ValueError(f"unusable batch id {batch_id!r}")
+    how = "OVERWRITE" if overwrite else "INTO"
+    rows.sparkSession.sql(
+        f"INSERT {how} TABLE {table} PARTITION (load_batch_id = '{batch_id}') SELECT * FROM {{rows}}",
+        rows=rows.drop("load_batch_id"),
+    )
+
+
+def drop_other_batches(spark: SparkSession, table: str, batch_id: str) -> None:
+    for partition in spark.sql(f"SHOW PARTITIONS {table}").collect():
+        other = unquote(partition[0].removeprefix("load_batch_id="))
+        if other != batch_id:
+            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (load_batch_id = '{other}')")
 
 
 def load_bronze(
@@ -77,16 +85,18 @@ def load_bronze(
 ) -> str:
     """Type, stamp and load one record set; returns the batch id.
 
-    ``replace`` leaves only this batch, ``append`` keeps all history, ``rerun`` writes this
-    batch afresh and keeps the others, so that a repeated load does not double its rows.
+    ``append`` keeps all history. ``rerun`` writes this batch afresh and keeps the others,
+    so that a repeated load does not double its rows. ``replace`` leaves only this batch;
+    older ones go after the new rows are in, so a load that fails loses nothing.
     """
     if mode not in ("replace", "append", "rerun"):
         raise ValueError(f"unknown mode {mode!r}")
-    spark = df.sparkSession
     batch_id = batch_id or new_batch_id()
+    table = bronze_name(record, database)
     rows = stamp_audit(cast_to(df, schemas.RECORDS[record], strict, tz), batch_id, ts)
-    with _overwrite_scope(spark, "dynamic" if mode == "rerun" else "static"):
-        rows.write.insertInto(bronze_name(record, database), overwrite=mode != "append")
+    _insert(rows, table, batch_id, overwrite=mode != "append")
+    if mode == "replace":
+        drop_other_batches(df.sparkSession, table, batch_id)
     return batch_id
 
 
@@ -125,10 +135,13 @@ def load_all(
     check_inputs(spark, folder)
     create_bronze(spark, database)
     batch_id = batch_id or new_batch_id()
-    for record in schemas.RECORDS:
+
+    def load(record: str) -> None:
         parsed = read_parsed(spark, folder, record)
         load_bronze(parsed, record, mode, batch_id, ts, strict, tz, database)
         reconcile(parsed, source(spark, record, database), batch_id)
+
+    run_together([partial(load, record) for record in schemas.RECORDS])
     return batch_id
 
 

@@ -91,13 +91,17 @@ def _reason():
 
 def quarantine(decoded: DataFrame) -> DataFrame:
     """Unreadable documents with a reason and their whole text, for repair and replay."""
-    return decoded.filter("bad").select("bundle_id", _reason().alias("reason"), "value")
+    # Unnesting instead of filtering: a filter would be pushed below the decoding and repeat it.
+    row = F.struct("bundle_id", _reason().alias("reason"), "value")
+    return decoded.select(F.inline(F.when(F.col("bad"), F.array(row))))
 
 
 def split_bad_bundles(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(readable, quarantine). Prefer `stage_bundles` for large input: it reads the files once."""
     decoded = decode_bundles(bundles)
-    return decoded.filter(~F.col("bad")), quarantine(decoded)
+    row = F.struct("bundle_id", "value", "entry", "bad")
+    readable = decoded.select(F.inline(F.when(~F.col("bad"), F.array(row))))
+    return readable, quarantine(decoded)
 
 
 def explode_entries(decoded: DataFrame) -> DataFrame:

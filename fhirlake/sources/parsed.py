@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from fhirlake import schemas
 from fhirlake.functions.dates import has_full_date
-from fhirlake.sources.shared import path_exists
+from fhirlake.sources.shared import path_exists, run_together
 
 
 def record_path(folder: str, record: str) -> str:
@@ -19,9 +20,12 @@ def record_path(folder: str, record: str) -> str:
 
 def write_parsed(records: Mapping[str, DataFrame], folder: str) -> None:
     """One parquet set per record set; an empty one still carries its columns."""
-    for record, df in records.items():
+
+    def write(record: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(record_path(folder, record))
 
+    run_together([partial(write, record, df) for record, df in records.items()])
+
 
 def check_inputs(spark: SparkSession, folder: str, records: Iterable[str] = tuple(schemas.RECORDS)) -> None:
     """All inputs must exist before the first load starts."""

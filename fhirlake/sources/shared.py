@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +45,13 @@ def through_table(df: DataFrame, purpose: str, partition_by: str | None = None)
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def run_together(jobs: Sequence[Callable[[], object]], threads: int = 4) -> list:
+    """Submit independent Spark jobs at once, so that one's last tasks leave no slots idle.
+
+    All jobs finish before the first failure is raised.
+    """
+    with ThreadPoolExecutor(threads) as pool:
+        futures = [pool.submit(inheritable_thread_target(job)) for job in jobs]
+    return [f.result() for f in futures]
