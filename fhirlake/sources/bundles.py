@@ -38,9 +38,10 @@ def read_bundles(spark: SparkSession, path: str | list[str], limit: int | None =
     """
     name = F.col("_metadata.file_name")
     docs = (
-        spark.read.option("wholetext", True)
+        spark.read.format("text")
+        .option("wholetext", True)
         .option("pathGlobFilter", FILE_PATTERN)
-        .text(path)
+        .load(path)
         .filter(is_patient_file(name))
     )
     if limit is not None:
