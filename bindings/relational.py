@@ -148,7 +148,7 @@ register(
 )
 _RATE = (
     "SELECT count(*) AS patients, count(t.patient_id) AS treated_patients, "
-    "round(count(t.patient_id) * 1.0 / count(*), 6) AS rate "
+    "round(count(t.patient_id) * 1.0 / nullif(count(*), 0), 6) AS rate "
     "FROM (SELECT DISTINCT patient_id FROM silver_conditions WHERE condition_flag = '{condition}') c "
     "LEFT JOIN (SELECT DISTINCT patient_id FROM silver_medications WHERE medication_flag = '{drug}') t USING (patient_id)"
 )

@@ -218,6 +218,9 @@ EXTRACTORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
     "Observation": ("observations", flatten_observations),
 }
 
+# Types to stage for the flatteners: medications are only looked up.
+SOURCE_TYPES = (*EXTRACTORS, "Medication")
+
 
 def flatten_all(resources: DataFrame) -> dict[str, DataFrame]:
     return {record: flatten(resources) for record, flatten in EXTRACTORS.values()}

@@ -6,6 +6,7 @@ are not readable as a bundle. They are set aside, never allowed to stop a run.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -167,12 +168,15 @@ class Staged:
         )
 
 
-def stage_bundles(bundles: DataFrame, path: str | None = None) -> Staged:
+def stage_bundles(
+    bundles: DataFrame, path: str | None = None, types: Sequence[str] | None = None
+) -> Staged:
     """Read and unnest the documents once into a table partitioned by resource type.
 
     The five flatteners, the quarantine and the run counts then each read only their own
     partition. Bundle rows carry ``pos`` -1 and the whole text for an unreadable document,
-    0 for a readable one.
+    0 for a readable one. ``types`` names the resource types to keep; the flatteners use
+    six of the twenty or so in a bundle, so the rest need not be written for them.
     """
     spark = bundles.sparkSession
     path = path or shared_dir(spark, "resources")
@@ -192,6 +196,8 @@ def stage_bundles(bundles: DataFrame, path: str | None = None) -> Staged:
             e["resource"].alias("resource"),
         ),
     )
+    if types is not None:
+        resources = F.filter(resources, lambda r: r["resource_type"].isin(*types))
     rows = decoded.select(
         "bundle_id",
         F.inline(F.concat(F.array(marker), F.coalesce(resources, F.array().cast(_ROWS)))),

@@ -17,12 +17,15 @@ def materialize(
 
     ``cluster_by`` and ``buckets`` bucket the table by a join key: joins between tables
     bucketed alike need no shuffle. Rows are brought together per bucket before the write,
-    so that each bucket is a few files instead of one per task.
+    so that a bucket is not one file per task; the rebalance lets adaptive execution split
+    a bucket that a hot key has made large over several tasks and files.
     """
     spark = df.sparkSession
     create_layers(spark, (layer,))
     if cluster_by and buckets:
-        writer = df.repartition(buckets, cluster_by).write.bucketBy(buckets, cluster_by)
+        together = df.withColumn("_bucket", F.pmod(F.hash(cluster_by), F.lit(buckets)))
+        together = together.hint("rebalance", F.col("_bucket")).drop("_bucket")
+        writer = together.write.bucketBy(buckets, cluster_by)
     else:
         writer = df.write
     writer.format("parquet").mode("overwrite").saveAsTable(f"{layer}.{name}")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fhirlake.operators.flatten import flatten_all
+from fhirlake.operators.flatten import SOURCE_TYPES, flatten_all
 from fhirlake.sources import bronze, bundles
 
 
@@ -45,7 +45,7 @@ def start_intake(
 
     def load(batch: DataFrame, number: int) -> None:
         label = f"{run}-{number:09d}"
-        staged = bundles.stage_bundles(batch, f"{staging.rstrip('/')}/{label}")
+        staged = bundles.stage_bundles(batch, f"{staging.rstrip('/')}/{label}", SOURCE_TYPES)
         for record, rows in flatten_all(staged.resources).items():
             bronze.load_bronze(
                 rows, record, "rerun", batch_id=label, strict=strict, tz=tz, database=database

@@ -119,6 +119,24 @@ def test_bucketed_tables_join_without_a_shuffle(spark, database):
     assert a.join(b, "patient_id").count() == 1000
 
 
+def test_a_hot_key_is_spread_over_several_bucket_files(spark, database):
+    """One patient with a third of all rows must not be written by one task."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200KB")
+    try:
+        df = spark.range(0, 300_000, 1, 16).select(
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("patient_id"),
+            F.sha2(F.col("id").cast("string"), 256).alias("payload"),
+        )
+        table = catalog.materialize(df, database, "hot", "patient_id", 4)
+    finally:
+        spark.conf.set(key, before)
+    hot = table.filter("patient_id = 'hot'").select(F.col("_metadata.file_path").alias("f"))
+    assert hot.count() == 100_000
+    assert hot.distinct().count() > 2
+
+
 def test_shared_dir_follows_the_session(spark):
     root = shared.setting(spark, "spark.checkpoint.dir")
     assert shared.shared_dir(spark, "x").startswith(f"{root}/x-")

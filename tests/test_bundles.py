@@ -149,6 +149,12 @@ def test_staging_equals_direct_reading(spark, folder, staged):
     assert sorted(map(str, direct.select(columns).collect())) == sorted(map(str, staged.resources.select(columns).collect()))
 
 
+def test_staging_only_the_needed_types(spark, folder, staged):
+    few = bundles.stage_bundles(bundles.read_bundles(spark, folder), types=flatten.SOURCE_TYPES)
+    assert few.resources.count() == staged.resources.count() - 1  # the untyped one
+    assert few.bundles.count() == staged.bundles.count() == 10
+
+
 def test_patient(flat):
     p = flat["patients"]["p1"]
     assert (p["given_name"], p["family_name"], p["marital_status"], p["city"], p["race"]) == ("Ann B", "First", "M", "Boston", None)
