@@ -336,8 +336,8 @@ for name, where in {
     )
 
 
-def _decoded(d: Data) -> DataFrame:
-    return bundles.decode_bundles(d.bundles())
+def _entries_of(d: Data, *sources: str) -> DataFrame:
+    return bundles.explode_entries(bundles.decode_bundles(d.bundles(*sources)))
 
 
 _TYPE_COUNTS = (
@@ -349,15 +349,15 @@ _TYPE_COUNTS = (
     "count(*) + count(*) FILTER (WHERE o_orderkey % 6 = 1) FROM orders WHERE o_orderkey % 6 IN (0, 1, 3, 5) "
     "UNION ALL SELECT 'Observation', count(*) FROM events"
 )
-register("N16_resource_type_counts", lambda d: bundles.resource_type_counts(_decoded(d)), _TYPE_COUNTS)
+register("N16_resource_type_counts", lambda d: bundles.resource_type_counts(bundles.stage_bundles(d.bundles()).entries), _TYPE_COUNTS)
 register(
     "N16_resource_type_totals",
-    lambda d: bundles.resource_type_totals(_decoded(d)),
+    lambda d: bundles.resource_type_totals(_entries_of(d)),
     f"SELECT cast(sum(n) AS bigint) AS entries, count(*) AS resource_types FROM ({_TYPE_COUNTS})",
 )
 register(
     "N16_counts_per_bundle",
-    lambda d: bundles.resource_type_counts(bundles.decode_bundles(d.bundles("orders")), per_bundle=True),
+    lambda d: bundles.resource_type_counts(_entries_of(d, "orders"), per_bundle=True),
     "SELECT 'o' || o_orderkey AS bundle_id, t.resource_type, cast(1 + cast(t.resource_type = 'Medication' AND o_orderkey % 6 = 1 AS int) AS bigint) AS n "
     "FROM orders, (VALUES ('Encounter'), ('Condition'), ('MedicationRequest'), ('Medication')) t(resource_type) "
     "WHERE t.resource_type <> 'Medication' OR o_orderkey % 6 IN (0, 1, 3, 5)",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -15,12 +15,16 @@ from fhirlake.sources.catalog import materialize
 from fhirlake.sources.shared import run_together
 
 _AUDIT = ("load_timestamp", "load_batch_id")
+# Settles equal load times; add columns where one batch may hold a key twice.
+TIEBREAK = ("load_batch_id",)
 
 
-def silver_patients(bronze: DataFrame, as_of: dt.date | str | None = None) -> DataFrame:
+def silver_patients(
+    bronze: DataFrame, as_of: dt.date | str | None = None, tiebreak: Sequence[str] = TIEBREAK
+) -> DataFrame:
     """``as_of`` fixes the day ages refer to; without it they refer to today."""
     today = F.current_date() if as_of is None else F.lit(str(as_of)).cast("date")
-    latest = latest_by(bronze, "patient_id")
+    latest = latest_by(bronze, "patient_id", tiebreak=tiebreak)
     age = dates.years_between(F.col("birth_date"), today)
     return latest.select(
         "patient_id",
@@ -44,9 +48,9 @@ def silver_patients(bronze: DataFrame, as_of: dt.date | str | None = None) -> Da
     )
 
 
-def silver_encounters(bronze: DataFrame) -> DataFrame:
+def silver_encounters(bronze: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     start, end = F.col("start_time"), F.col("end_time")
-    return latest_by(bronze, "encounter_id").select(
+    return latest_by(bronze, "encounter_id", tiebreak=tiebreak).select(
         "encounter_id",
         "patient_id",
         "provider_id",
@@ -66,9 +70,9 @@ def silver_encounters(bronze: DataFrame) -> DataFrame:
     )
 
 
-def silver_conditions(bronze: DataFrame) -> DataFrame:
+def silver_conditions(bronze: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     display = F.col("display")
-    return latest_by(bronze, "condition_id").select(
+    return latest_by(bronze, "condition_id", tiebreak=tiebreak).select(
         "condition_id",
         "patient_id",
         "encounter_id",
@@ -87,9 +91,9 @@ def silver_conditions(bronze: DataFrame) -> DataFrame:
     )
 
 
-def silver_medications(bronze: DataFrame) -> DataFrame:
+def silver_medications(bronze: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     display = F.col("medication_display")
-    return latest_by(bronze, "medication_request_id").select(
+    return latest_by(bronze, "medication_request_id", tiebreak=tiebreak).select(
         "medication_request_id",
         "patient_id",
         "encounter_id",
@@ -107,9 +111,9 @@ def silver_medications(bronze: DataFrame) -> DataFrame:
     )
 
 
-def silver_observations(bronze: DataFrame) -> DataFrame:
+def silver_observations(bronze: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     code, value = F.col("loinc_code"), F.col("value_numeric")
-    return latest_by(bronze, "observation_id").select(
+    return latest_by(bronze, "observation_id", tiebreak=tiebreak).select(
         "observation_id",
         "parent_observation_id",
         "patient_id",

@@ -124,20 +124,22 @@ def explode_resources(decoded: DataFrame) -> DataFrame:
     return explode_entries(decoded).filter(F.col("resource").isNotNull())
 
 
-def resource_type_counts(decoded: DataFrame, per_bundle: bool = False) -> DataFrame:
-    """Entries per resource type, a missing type counting as Unknown."""
+def resource_type_counts(entries: DataFrame, per_bundle: bool = False) -> DataFrame:
+    """Entries per resource type, a missing type counting as Unknown.
+
+    On `Staged.entries` this reads no document text, only the partitions' row counts.
+    """
     keys = (["bundle_id"] if per_bundle else []) + ["resource_type"]
     return (
-        explode_entries(decoded)
-        .withColumn("resource_type", F.coalesce("resource_type", F.lit(UNKNOWN_TYPE)))
+        entries.withColumn("resource_type", F.coalesce("resource_type", F.lit(UNKNOWN_TYPE)))
         .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def resource_type_totals(decoded: DataFrame) -> DataFrame:
+def resource_type_totals(entries: DataFrame) -> DataFrame:
     """Entries in total and number of distinct resource types."""
-    return resource_type_counts(decoded).agg(
+    return resource_type_counts(entries).agg(
         F.sum("n").alias("entries"), F.count(F.lit(1)).alias("resource_types")
     )
 
@@ -149,12 +151,16 @@ class Staged:
     table: DataFrame
 
     @property
-    def resources(self) -> DataFrame:
+    def entries(self) -> DataFrame:
+        """All kept entries, also those without a resource."""
         return self.table.filter(
-            F.col("resource").isNotNull()
-            & (F.col("resource_type").isNull() | (F.col("resource_type") != BUNDLE_ROW))
+            F.col("resource_type").isNull() | (F.col("resource_type") != BUNDLE_ROW)
         )
 
+    @property
+    def resources(self) -> DataFrame:
+        return self.entries.filter(F.col("resource").isNotNull())
+
     @property
     def bundles(self) -> DataFrame:
         return self.table.filter(F.col("resource_type") == BUNDLE_ROW).select(
@@ -211,7 +217,7 @@ _ROWS = "array<struct<pos:int,full_url:string,resource_type:string,resource:stri
 
 
 def ingest_report(staged: Staged, records: dict[str, DataFrame]) -> DataFrame:
-    """Readable and failed bundles, then rows per flat record set."""
+    """Readable and failed bundles, then rows per flat record set (best given as read back)."""
     bundle_counts = staged.bundles.agg(
         F.count_if(~F.col("failed")).alias("bundles_ok"), F.count_if("failed").alias("bundles_failed")
     )

@@ -213,11 +213,12 @@ def test_observations_without_a_value_give_no_row(flat):
     assert not {"null", "bool", "int", "both", "bp", "sv"} & set(flat["observations"])
 
 
-def test_type_counts(spark, folder, rows):
-    decoded = bundles.decode_bundles(bundles.read_bundles(spark, folder))
-    counts = {r["resource_type"]: r["n"] for r in rows(bundles.resource_type_counts(decoded))}
+def test_type_counts(spark, folder, staged, rows):
+    entries = bundles.explode_entries(bundles.decode_bundles(bundles.read_bundles(spark, folder)))
+    counts = {r["resource_type"]: r["n"] for r in rows(bundles.resource_type_counts(entries))}
+    assert rows(bundles.resource_type_counts(staged.entries)) == rows(bundles.resource_type_counts(entries))
     assert counts == {"Patient": 2, "Encounter": 1, "Condition": 1, "MedicationRequest": 7, "Medication": 3, "Observation": 11, "Unknown": 2}
-    assert bundles.resource_type_totals(decoded).first().asDict() == {"entries": 27, "resource_types": 7}
+    assert bundles.resource_type_totals(entries).first().asDict() == {"entries": 27, "resource_types": 7}
 
 
 def test_diagnostics(staged, rows):
