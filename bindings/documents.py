@@ -27,14 +27,20 @@ def _text(template: str) -> str:
     return " || ".join(out)
 
 
-def _case(selector: str, options: dict[int, str], default: str = "") -> str:
+def _case(selector: str, options: dict[int, str]) -> str:
+    """One of several pieces of text, or nothing."""
     branches = "".join(f" WHEN {n} THEN {_text(t)}" for n, t in options.items())
-    return f"(CASE {selector}{branches} ELSE '{default}' END)"
+    return f"(CASE {selector}{branches} ELSE '' END)"
 
 
-def _if(condition: str, template: str, otherwise: str | None = "") -> str:
-    other = "" if otherwise is None else f" ELSE {_text(otherwise) or chr(39) * 2}"
-    return f"(CASE WHEN {condition} THEN {_text(template)}{other} END)"
+def _if(condition: str, template: str) -> str:
+    """A piece of text, or nothing."""
+    return f"(CASE WHEN {condition} THEN {_text(template)} ELSE '' END)"
+
+
+def _entry_if(condition: str, template: str) -> str:
+    """A whole entry, or NULL so that joining skips it."""
+    return f"(CASE WHEN {condition} THEN {_text(template)} END)"
 
 
 def _join(*parts: str) -> str:
@@ -75,8 +81,8 @@ _PATIENT = _join(
 )
 CUSTOMER_BUNDLE = _bundle([
     _PATIENT,
-    _if("k % 13 = 0", '{"fullUrl":"u"}', None),
-    _if("k % 29 = 0", '{"resource":{"id":"x"}}', None),
+    _entry_if("k % 13 = 0", '{"fullUrl":"u"}'),
+    _entry_if("k % 29 = 0", '{"resource":{"id":"x"}}'),
 ])
 CUSTOMER_DOC = (
     "CASE WHEN k % 17 = 0 THEN '{bad' || cast(k as string) WHEN k % 19 = 0 THEN '[1,2]' "
@@ -125,11 +131,10 @@ _CONDITION = _join(
 
 def _medication(condition: str, letter: str, identity: str = "m@k@") -> str:
     low = letter.lower()
-    return _if(
+    return _entry_if(
         condition,
         '{"resource":{"resourceType":"Medication","id":"' + identity + '","code":{"coding":'
         '[{"system":"sys-' + low + '","code":"' + letter + '@k@","display":"Drug ' + letter + '"}]}}}',
-        None,
     )
 
 

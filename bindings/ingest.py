@@ -11,7 +11,6 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindings import shapes
 from bindings.documents import FILLED, READABLE
 from bindings.registry import Data, register
 from fhirlake import schemas
@@ -136,7 +135,7 @@ register(
 CHECK_DB = "fhirlake_check"
 
 
-def _load(d: Data, record: str, modes: list[str], share_of_rows: bool = False) -> DataFrame:
+def _load(d: Data, record: str, modes: list[str]) -> DataFrame:
     """Load the record set once per mode, as batches batch-0, batch-1, ..."""
     if not d.spark.catalog.databaseExists(CHECK_DB):
         bronze.create_layers(d.spark, (CHECK_DB,), shared.shared_dir(d.spark, "tables"))
