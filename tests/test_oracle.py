@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from bindings import registry
 from tools import compare
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
 
 
 def test_every_query_has_a_statement():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(registry.ORACLES) == set(registry.QUERIES)
 
 
 def test_entry(spark):
@@ -25,6 +26,6 @@ def test_entry(spark):
 EMPTY_HERE = {"both empty"}
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, con, name):
     assert compare.differences(spark, con, SF, name) in {None} | EMPTY_HERE
