@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fhirlake.llm import packing, shards, token_counts
+from fhirlake.llm import near_duplicates, neighbours, packing, shards, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +17,28 @@ def _vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), _vocabulary()))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"))
+    records = warc.read_archives(spark, manifest, payloads=False)
+    page, refers = F.col("page_id").cast("long"), F.col("refers_to").cast("long")
+    return records.select(
+        page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to")
+    )
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -29,8 +48,27 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_search": op1_permutation_search,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_pack": op4_pack,
+    "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
     "op8_shard_by_bytes": op8_shard_by_bytes,
 }
-ORACLES: dict[str, str] = {}
+
+# Of equal payloads of at least 100 bytes the smallest page is stored; equal digests stand for equal payloads.
+_OP5 = """
+WITH body AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+sized AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM body),
+ranked AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM ranked
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_warc": _OP5,
+}

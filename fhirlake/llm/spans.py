@@ -89,3 +89,57 @@ def groups(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         after = min(max(after, first + 1), n)
         yield first, after
         first = after
+
+
+BLANK = 32
+#: Texts are handled in runs of about so many bytes, to bound a task's memory.
+RUN_BYTES = 1 << 22
+
+
+class Shingles:
+    """Runs of `width` words of normal texts (see `shingling.normal`): all texts of one byte array.
+
+    A text of fewer words is one shingle; a text without words has none.
+    """
+
+    def __init__(self, raw: np.ndarray, starts: np.ndarray, width: int) -> None:
+        base = int(starts[0])
+        raw = raw[base : int(starts[-1])]
+        starts = starts - base
+        blank = raw == BLANK
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:][blank] = True
+        begins[starts[:-1][np.diff(starts) > 0]] = True
+        ends = np.zeros(len(raw) + 1, bool)
+        ends[:-1][blank] = True
+        ends[starts[1:][np.diff(starts) > 0]] = True
+        # without blanks at the borders and without double blanks, each begin has its end
+        word_start, word_end = np.flatnonzero(begins), np.flatnonzero(ends)
+        per_text = np.diff(np.searchsorted(word_start, starts))
+        self.words = per_text
+        self.word_start, self.word_end = word_start, word_end
+        self.first_word = np.cumsum(per_text) - per_text
+        self.counts = np.where(per_text == 0, 0, np.maximum(per_text - width + 1, 1))
+        self.owner = np.repeat(np.arange(len(per_text)), self.counts)
+        within = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.counts) - self.counts, self.counts)
+        first = np.repeat(self.first_word, self.counts) + within
+        last = np.minimum(first + width, np.repeat(self.first_word + per_text, self.counts)) - 1
+        self.place = within
+        self.hasher = RangeHash(raw)
+        self.hashes = self.hasher(word_start[first], word_end[last])
+
+
+def occurrences(owner: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, hash, number) sorted by owner and hash; the number counts equal hashes of an owner from 0."""
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    run = np.flatnonzero(new)
+    number = np.arange(len(owner)) - np.repeat(run, np.diff(np.append(run, len(owner))))
+    return owner, hashes, number
+
+
+def multiset(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """One distinct value per occurrence: multisets compare as sets do."""
+    return mix(hashes + number.astype(U) * U(0x9E3779B97F4A7C15))
