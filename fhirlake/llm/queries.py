@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fhirlake.llm import near_duplicates, neighbours, packing, shards, token_counts, warc
+from fhirlake.llm import near_duplicates, neighbours, packing, repeats, shards, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents"), with_kept=False)
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), _vocabulary()))
 
@@ -50,6 +54,7 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_permutation_search": op1_permutation_search,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_repeats": op3_repeats,
     "op4_pack": op4_pack,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
