@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fhirlake.llm import near_duplicates, neighbours, packing, repeats, shards, token_counts, warc
+from fhirlake.llm import (
+    decontamination,
+    near_duplicates,
+    neighbours,
+    packing,
+    quality,
+    repeats,
+    secret_scan,
+    shards,
+    token_counts,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +62,21 @@ def op8_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word", "rule", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "words", "similarity")
+
+
 QUERIES = {
     "op1_permutation_search": op1_permutation_search,
     "op2_near_duplicates": op2_near_duplicates,
@@ -58,7 +84,10 @@ QUERIES = {
     "op4_pack": op4_pack,
     "op5_warc": op5_warc,
     "op6_token_counts": op6_token_counts,
+    "op7_secrets": op7_secrets,
     "op8_shard_by_bytes": op8_shard_by_bytes,
+    "op9_quality": op9_quality,
+    "op10_decontamination": op10_decontamination,
 }
 
 # Of equal payloads of at least 100 bytes the smallest page is stored; equal digests stand for equal payloads.
