@@ -71,6 +71,28 @@ register(
     f"SELECT 'c' || c_custkey AS bundle_id, CASE WHEN {FILLED} THEN cast(1 + cast(c_custkey % 13 = 0 AS int) "
     f"+ cast(c_custkey % 29 = 0 AS int) AS bigint) END AS entries, NOT ({READABLE}) AS bad FROM customer",
 )
+
+
+def _tailed(d: Data) -> DataFrame:
+    """Every third document as it is, every third twice in one file, every third with text behind it."""
+    number = F.substr("bundle_id", F.lit(2)).cast("long") % 3
+    twice, text = F.concat("value", F.lit("\n"), "value"), F.concat("value", F.lit(" x"))
+    value = F.when(number == 1, twice).when(number == 2, text).otherwise(F.col("value"))
+    return d.bundles("customer").withColumn("value", value)
+
+
+register(
+    "S03_whole_documents",
+    lambda d: bundles.decode_bundles(_tailed(d)).select("bundle_id", "bad"),
+    f"SELECT 'c' || c_custkey AS bundle_id, NOT ({READABLE}) OR c_custkey % 3 <> 0 AS bad FROM customer",
+)
+register(
+    "S04_reasons",
+    lambda d: bundles.split_bad_bundles(_tailed(d))[1].select("bundle_id", "reason"),
+    "SELECT 'c' || c_custkey AS bundle_id, "
+    f"CASE WHEN {READABLE} THEN 'text after the document' WHEN c_custkey % 17 = 0 THEN 'malformed document' "
+    f"ELSE 'not a JSON object' END AS reason FROM customer WHERE NOT ({READABLE}) OR c_custkey % 3 <> 0",
+)
 _QUARANTINE = (
     "SELECT 'c' || c_custkey AS bundle_id, CASE WHEN c_custkey % 17 = 0 THEN 'malformed document' "
     "ELSE 'not a JSON object' END AS reason, CASE WHEN c_custkey % 17 = 0 THEN '{bad' || c_custkey ELSE '[1,2]' END AS value "
@@ -187,6 +209,43 @@ register(
     ),
     "SELECT count(*) AS source_rows, count(*) AS loaded_rows, 'OK' AS status FROM bronze_encounters",
 )
+
+
+def _load_report(d: Data) -> DataFrame:
+    """One batch of all record sets, of which some patients were lost on the way."""
+    pairs = {}
+    for record in RECORDS:
+        rows = d.bronze(record).drop("load_timestamp", "load_batch_id")
+        loaded = rows.filter("patient_id NOT LIKE '%1'") if record == "patients" else rows
+        pairs[record] = (rows, bronze.stamp_audit(loaded, "b1", LOADED_AT))
+    return bronze.load_report(pairs, "b1")
+
+
+register(
+    "S14_load_report",
+    _load_report,
+    "SELECT 'patients' AS table_name, count(*) AS source_rows, count(*) FILTER (patient_id NOT LIKE '%1') AS loaded_rows, "
+    "'MISMATCH' AS status FROM bronze_patients "
+    + "".join(
+        f" UNION ALL SELECT '{r}', count(*), count(*), 'OK' FROM bronze_{r}" for r in RECORDS if r != "patients"
+    ),
+)
+
+
+def _created_twice(d: Data) -> DataFrame:
+    loaded = _load(d, "encounters", ["replace"])
+    bronze.create_bronze(d.spark, CHECK_DB)
+    return loaded.agg(F.count(F.lit(1)).alias("n")).withColumn("columns", F.lit(len(loaded.columns)).cast("long"))
+
+
+register("S16_create_bronze", _created_twice, "SELECT count(*) AS n, cast(14 AS bigint) AS columns FROM bronze_encounters")
+register(
+    "S17_column_report",
+    lambda d: catalog.column_report(_load(d, "conditions", ["replace"])).filter("column_type <> 'string'").drop("position"),
+    "SELECT * FROM (VALUES ('onset_date', 'timestamp_ntz'), ('abatement_date', 'timestamp_ntz'), "
+    "('recorded_date', 'timestamp_ntz'), ('load_timestamp', 'timestamp_ntz')) AS t(column_name, column_type) "
+    "WHERE (SELECT count(*) FROM customer) > 0",
+)
 register(
     "S15_bronze_state",
     lambda d: bronze.bronze_state({f"bronze_{r}": d.bronze(r) for r in RECORDS}),
@@ -416,3 +475,30 @@ register(
     "SELECT 'v' || event_id AS bundle_id, 'o' || event_id AS observation_id, 'A1c' AS code_text, "
     "cast(CASE event_id % 10 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 1 ELSE 0 END AS bigint) AS components FROM events",
 )
+
+
+def _unreadable(d: Data) -> DataFrame:
+    """Patients of every third bundle with an object where a list of names should be."""
+    resources = bundles.explode_resources(bundles.decode_bundles(d.bundles("customer")))
+    wrong = F.replace(F.col("resource"), F.lit('"gender":"male"'), F.lit('"name":{"family":"x"}'))
+    third = F.substr("bundle_id", F.lit(2)).cast("long") % 3 == 0
+    patients = resources.filter("resource_type = 'Patient'")
+    patients = patients.withColumn("resource", F.when(third, wrong).otherwise(F.col("resource")))
+    return flatten.unreadable(patients).select("bundle_id", "resource_type", "reason")
+
+
+register(
+    "N02_unreadable",
+    _unreadable,
+    "SELECT 'c' || c_custkey AS bundle_id, 'Patient' AS resource_type, 'field of another type' AS reason "
+    f"FROM customer WHERE {FILLED} AND c_custkey % 3 = 0",
+)
+
+
+def _quoted(d: Data) -> DataFrame:
+    resources = _resources(d, "events")
+    quoted = F.regexp_replace("resource", r'"value":(-?[0-9.]+)', '"value":"$1"')
+    return flatten.flatten_observations(resources.withColumn("resource", quoted))
+
+
+register("N13_quoted_numbers", _quoted, "SELECT * FROM doc_observations")

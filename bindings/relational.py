@@ -100,7 +100,7 @@ register(
 
 register(
     "J01_in_cohort",
-    lambda d: cohorts.in_cohort(d.silver("observations"), cohorts.cohort(d.silver("conditions"), _diabetic())).select(
+    lambda d: cohorts.in_cohort(d.silver("observations"), cohorts.members(d.silver("conditions"), _diabetic())).select(
         "observation_id", "patient_id", "value_numeric"
     ),
     "SELECT observation_id, patient_id, value_numeric FROM silver_observations WHERE patient_id IN "
@@ -108,7 +108,7 @@ register(
 )
 register(
     "J02_control_group",
-    lambda d: cohorts.not_in_cohort(d.silver("observations"), cohorts.cohort(d.silver("conditions"), _hypertensive())).select(
+    lambda d: cohorts.not_in_cohort(d.silver("observations"), cohorts.members(d.silver("conditions"), _hypertensive())).select(
         "observation_id", "patient_id", "value_numeric"
     ),
     "SELECT observation_id, patient_id, value_numeric FROM silver_observations o WHERE NOT EXISTS "

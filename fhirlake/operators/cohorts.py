@@ -19,6 +19,15 @@ def cohort(df: DataFrame, condition: Column, key: str = PATIENT) -> DataFrame:
     return df.filter(condition).select(key).distinct()
 
 
+def members(df: DataFrame, condition: Column, key: str = PATIENT) -> DataFrame:
+    """Keys of the rows meeting the condition, as often as they occur.
+
+    For joins of rows against a cohort: an aggregate between shuffle and sort, as `cohort` has it, would keep
+    adaptive execution from splitting a hot key of the other side.
+    """
+    return df.filter(condition).select(key)
+
+
 def in_cohort(df: DataFrame, members: DataFrame, key: str = PATIENT) -> DataFrame:
     return df.join(members, key, "left_semi")
 

@@ -7,6 +7,7 @@ map-only; that join moves flat columns, never JSON text.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,7 +201,7 @@ def flatten_observations(resources: DataFrame) -> DataFrame:
         "parent_observation_id": F.when(F.col("split"), F.col("id")),
         "loinc_code": get_path(part, "code", "coding", 0, "code"),
         "loinc_display": get_path(part, "code", "coding", 0, "display"),
-        "value_numeric": quantity["value"],
+        "value_numeric": quantity["value"].try_cast("double"),
         "value_text": F.when(coded, label).when(quantity.isNull(), text),
         "value_code": F.when(coded, get_path(concept, "coding", 0, "code")),
         "value_code_system": F.when(coded, get_path(concept, "coding", 0, "system")),
@@ -222,5 +223,33 @@ EXTRACTORS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
 SOURCE_TYPES = (*EXTRACTORS, "Medication")
 
 
+def unreadable(resources: DataFrame) -> DataFrame:
+    """Resources with a field of another type than expected: (bundle_id, pos, resource_type, reason, resource).
+
+    Their flat rows have NULL in such fields; write these next to them, for repair and replay.
+    """
+
+    def number(quantity: Column) -> Column:
+        return quantity["value"].isNotNull() & quantity["value"].try_cast("double").isNull()
+
+    parts = []
+    for kind in SOURCE_TYPES:
+        parsed = F.from_json(
+            "resource",
+            f"{schemas.RESOURCES[kind]}, _corrupt string",
+            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+        )
+        rows = resources.filter(F.col("resource_type") == kind).withColumn("r", parsed)
+        bad_type = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+        reason = F.when(bad_type, F.lit("field of another type"))
+        if kind == "Observation":
+            lost = number(F.col("r.valueQuantity")) | F.exists("r.component", lambda c: number(c["valueQuantity"]))
+            reason = reason.when(lost, F.lit("value is not a number"))
+        # Unnesting instead of filtering: a filter would repeat the parsing below it.
+        found = F.struct("bundle_id", "pos", "resource_type", reason.alias("reason"), "resource")
+        parts.append(rows.select(F.inline(F.when(reason.isNotNull(), F.array(found)))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def flatten_all(resources: DataFrame) -> dict[str, DataFrame]:
     return {record: flatten(resources) for record, flatten in EXTRACTORS.values()}

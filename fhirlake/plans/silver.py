@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fhirlake.functions import dates, rules
+from fhirlake import schemas
 from fhirlake.operators.dedupe import latest_by
 from fhirlake.sources.catalog import materialize
 from fhirlake.sources.shared import run_together
@@ -147,11 +148,21 @@ MODELS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
 }
 
 
-def build_silver(bronze: Mapping[str, DataFrame], as_of: dt.date | str | None = None) -> dict[str, DataFrame]:
-    """All five models from the five bronze record sets."""
+def build_silver(
+    bronze: Mapping[str, DataFrame],
+    as_of: dt.date | str | None = None,
+    tiebreak: Mapping[str, Sequence[str]] | None = None,
+) -> dict[str, DataFrame]:
+    """All five models from the five bronze record sets.
+
+    Which of several rows of a key in one batch survives is settled by ``tiebreak`` (columns per record set), by
+    default the batch id and then all other columns, so that a repeated task gives the same row.
+    """
     built = {}
     for name, (record, build) in MODELS.items():
-        built[name] = build(bronze[record], as_of) if record == "patients" else build(bronze[record])
+        ties = (tiebreak or {}).get(record) or (*TIEBREAK, *schemas.RECORDS[record].names)
+        extra = {"as_of": as_of} if record == "patients" else {}
+        built[name] = build(bronze[record], **extra, tiebreak=ties)
     return built
 
 
@@ -160,6 +171,7 @@ def materialize_silver(
     as_of: dt.date | str | None = None,
     layer: str = "silver",
     buckets: int | None = None,
+    tiebreak: Mapping[str, Sequence[str]] | None = None,
 ) -> dict[str, DataFrame]:
     """Rebuild all five silver tables; they do not depend on each other and run together.
 
@@ -169,6 +181,6 @@ def materialize_silver(
     def build(name: str, df: DataFrame) -> DataFrame:
         return materialize(df, layer, name, "patient_id" if buckets else None, buckets)
 
-    models = build_silver(bronze, as_of)
+    models = build_silver(bronze, as_of, tiebreak)
     tables = run_together([partial(build, name, df) for name, df in models.items()])
     return dict(zip(models, tables))

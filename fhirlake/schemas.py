@@ -70,13 +70,15 @@ def bronze_schema(record: str) -> T.StructType:
 # Source documents. A resource stays JSON text until it has been routed by type,
 # because one field name has different types in different resources.
 BUNDLE = "entry array<struct<fullUrl:string,resource:string>>"
+BUNDLE_FIELDS = "entry:array<struct<fullUrl:string,resource:string>>"
 
 _CODING = "array<struct<system:string,code:string,display:string>>"
 _CODES = "array<struct<code:string>>"
 _REF = "struct<reference:string>"
 _CONCEPT = f"struct<coding:{_CODING}>"
 _VALUES = (
-    "valueQuantity{s}struct<value:double,unit:string>,"
+    # read as text, since a number may come quoted; the flattener converts it
+    "valueQuantity{s}struct<value:string,unit:string>,"
     f"valueCodeableConcept{{s}}struct<text:string,coding:{_CODING}>,"
     "valueString{s}string"
 )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fhirlake import schemas
-from fhirlake.sources.parsed import cast_to, check_inputs, read_parsed
+from fhirlake.sources.parsed import cast_to, check_inputs, read_parsed, record_path, rejected_rows
 from fhirlake.sources.shared import run_together
 
 BRONZE = "bronze"
@@ -60,17 +60,21 @@ def _insert(rows: DataFrame, table: str, batch_id: str, overwrite: bool) -> None
     if not re.fullmatch(r"[\w.:-]+", batch_id):
         raise ValueError(f"unusable batch id {batch_id!r}")
     how = "OVERWRITE" if overwrite else "INTO"
-    rows.sparkSession.sql(
+    spark = rows.sparkSession
+    wanted = [c for c in spark.table(table).columns if c != "load_batch_id"]
+    if sorted(wanted) != sorted(c for c in rows.columns if c != "load_batch_id"):
+        raise ValueError(f"{table} has columns {wanted}, the load has {rows.columns}")
+    spark.sql(
         f"INSERT {how} TABLE {table} PARTITION (load_batch_id = '{batch_id}') SELECT * FROM {{rows}}",
-        rows=rows.drop("load_batch_id"),
+        rows=rows.select(*wanted),
     )
 
 
 def drop_other_batches(spark: SparkSession, table: str, batch_id: str) -> None:
-    for partition in spark.sql(f"SHOW PARTITIONS {table}").collect():
-        other = unquote(partition[0].removeprefix("load_batch_id="))
-        if other != batch_id:
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (load_batch_id = '{other}')")
+    names = [unquote(p[0].removeprefix("load_batch_id=")) for p in spark.sql(f"SHOW PARTITIONS {table}").collect()]
+    others = ", ".join(f"PARTITION (load_batch_id = '{n}')" for n in names if n != batch_id)
+    if others:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {others}")
 
 
 def load_bronze(
@@ -87,7 +91,7 @@ def load_bronze(
 
     ``append`` keeps all history. ``rerun`` writes this batch afresh and keeps the others,
     so that a repeated load does not double its rows. ``replace`` leaves only this batch;
-    older ones go after the new rows are in, so a load that fails loses nothing.
+    older ones go after the new rows are in and counted, so a load that fails loses nothing.
     """
     if mode not in ("replace", "append", "rerun"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -96,6 +100,7 @@ def load_bronze(
     rows = stamp_audit(cast_to(df, schemas.RECORDS[record], strict, tz), batch_id, ts)
     _insert(rows, table, batch_id, overwrite=mode != "append")
     if mode == "replace":
+        reconcile(df, df.sparkSession.table(table), batch_id)
         drop_other_batches(df.sparkSession, table, batch_id)
     return batch_id
 
@@ -114,6 +119,12 @@ def batch_counts(source: DataFrame, table: DataFrame, batch_id: str) -> DataFram
     return counts.withColumn("status", F.when(same, "OK").otherwise("MISMATCH"))
 
 
+def load_report(pairs: dict[str, tuple[DataFrame, DataFrame]], batch_id: str) -> DataFrame:
+    """(table_name, source_rows, loaded_rows, status) of one batch, a row for each (source, table)."""
+    parts = [batch_counts(*pair, batch_id).select(F.lit(name).alias("table_name"), "*") for name, pair in pairs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reconcile(source: DataFrame, table: DataFrame, batch_id: str) -> tuple[int, int]:
     row = batch_counts(source, table, batch_id).first()
     if row.status != "OK":
@@ -131,13 +142,20 @@ def load_all(
     tz: str | None = None,
     database: str = BRONZE,
 ) -> str:
-    """Load all five parsed record sets as one batch and reconcile each."""
+    """Load all five parsed record sets as one batch and reconcile each; see `load_report` for the counts.
+
+    With ``strict=False`` rows that hold an unloadable value are also kept as they came, with the names
+    of the columns, in ``rejected/<record>.parquet`` of the folder.
+    """
     check_inputs(spark, folder)
     create_bronze(spark, database)
     batch_id = batch_id or new_batch_id()
 
     def load(record: str) -> None:
         parsed = read_parsed(spark, folder, record)
+        if not strict:
+            lost = rejected_rows(parsed, schemas.RECORDS[record])
+            lost.write.mode("overwrite").parquet(record_path(f"{folder.rstrip('/')}/rejected", record))
         load_bronze(parsed, record, mode, batch_id, ts, strict, tz, database)
         reconcile(parsed, source(spark, record, database), batch_id)
 

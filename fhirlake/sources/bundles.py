@@ -34,10 +34,11 @@ def is_patient_file(name):
 def read_bundles(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
     """Bundle files of the folder(s) as ``(bundle_id, value)``; optionally the first n by name.
 
-    Only the name at the cut reaches the driver: names are listed without reading file
-    contents, and the cut is then a filter on file metadata, which prunes the listing.
+    The id is the file's path, so that files of one name in several folders stay apart; equal names
+    are ordered by path. Only the file at the cut reaches the driver: files are listed without reading
+    their contents, and the cut is then a filter on file metadata, which prunes the listing.
     """
-    name = F.col("_metadata.file_name")
+    name, where = F.col("_metadata.file_name"), F.col("_metadata.file_path")
     docs = (
         spark.read.format("text")
         .option("wholetext", True)
@@ -50,12 +51,14 @@ def read_bundles(spark: SparkSession, path: str | list[str], limit: int | None =
             spark.read.format("binaryFile")
             .option("pathGlobFilter", FILE_PATTERN)
             .load(path)
-            .select(name.alias("name"))
+            .select(name.alias("name"), where.alias("path"))
             .filter(is_patient_file(F.col("name")))
         )
-        cut = names.orderBy("name").limit(limit).agg(F.max("name")).first()[0]
-        docs = docs.filter(name <= F.lit(cut))
-    return docs.select(name.alias("bundle_id"), "value")
+        cut = names.orderBy("name", "path").limit(limit).agg(F.max(F.struct("name", "path"))).first()[0]
+        if cut is None:
+            return docs.limit(0).select(where.alias("bundle_id"), "value")
+        docs = docs.filter((name < cut["name"]) | ((name == cut["name"]) & (where <= cut["path"])))
+    return docs.select(where.alias("bundle_id"), "value")
 
 
 def require_bundles(bundles: DataFrame) -> DataFrame:
@@ -66,28 +69,38 @@ def require_bundles(bundles: DataFrame) -> DataFrame:
 
 def decode_bundles(bundles: DataFrame) -> DataFrame:
     """Parse the envelope only; each resource stays JSON text."""
+    # Wrapped in a document of our own, so that the decoder reads the text to its end: anything
+    # after the bundle, also a second bundle, breaks the wrapper or hides its last field.
+    wrapped = F.concat(F.lit('{"d":'), F.col("value"), F.lit('\n,"_end":1}'))
     decoded = bundles.select(
         "bundle_id",
         "value",
         F.from_json(
-            "value",
-            f"{schemas.BUNDLE}, _corrupt string",
+            wrapped,
+            f"d struct<{schemas.BUNDLE_FIELDS}>, _end int, _corrupt string",
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
         ).alias("doc"),
     )
-    # The decoder stops at the end of the first document; text after it must not pass.
-    whole = F.rtrim(F.col("value"), F.lit(" \t\r\n")).endswith("}")
+    whole = F.col("doc.d").isNotNull() & (F.col("doc._end") == 1) & F.col("doc._corrupt").isNull()
     return decoded.select(
         "bundle_id",
         "value",
-        F.col("doc.entry").alias("entry"),
-        (F.col("doc").isNull() | F.col("doc._corrupt").isNotNull() | ~whole).alias("bad"),
+        F.col("doc.d.entry").alias("entry"),
+        (~F.coalesce(whole, F.lit(False))).alias("bad"),
     )
 
 
 def _reason():
-    return F.when(F.ltrim("value").startswith("{"), "malformed document").otherwise(
-        "not a JSON object"
+    """Class of the error: an entry list of another type, text after a readable document, or neither."""
+    first = F.from_json(
+        "value", f"{schemas.BUNDLE}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    )
+    # The decoder stops at the end of the first document; what follows is the fault then.
+    return (
+        F.when(F.trim("value") == "", "empty document")
+        .when(~F.ltrim("value").startswith("{"), "not a JSON object")
+        .when(first.isNotNull() & first["_corrupt"].isNull(), "text after the document")
+        .otherwise("malformed document")
     )
 
 
@@ -216,8 +229,15 @@ def stage_bundles(
 _ROWS = "array<struct<pos:int,full_url:string,resource_type:string,resource:string>>"
 
 
-def ingest_report(staged: Staged, records: dict[str, DataFrame]) -> DataFrame:
-    """Readable and failed bundles, then rows per flat record set (best given as read back)."""
+def ingest_report(
+    staged: Staged, records: dict[str, DataFrame], unreadable: DataFrame | None = None
+) -> DataFrame:
+    """Readable and failed bundles, then rows per flat record set (best given as read back).
+
+    ``unreadable`` (see `flatten.unreadable`) adds the number of resources with fields that were lost.
+    """
+    if unreadable is not None:
+        records = records | {"resources_unreadable": unreadable}
     bundle_counts = staged.bundles.agg(
         F.count_if(~F.col("failed")).alias("bundles_ok"), F.count_if("failed").alias("bundles_failed")
     )

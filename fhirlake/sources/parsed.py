@@ -59,8 +59,10 @@ def _typed(df: DataFrame, field: T.StructField, strict: bool, tz: str | None) ->
 
     if tz is None or isinstance(kind, T.DateType):
         return convert(kind)
-    local = convert("timestamp").cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit(tz), local)
+    # Through UTC and not through the session's wall clock, in which an autumn hour comes twice.
+    micros = F.unix_micros(convert("timestamp"))
+    utc = F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def cast_to(df: DataFrame, schema: T.StructType, strict: bool = True, tz: str | None = None) -> DataFrame:

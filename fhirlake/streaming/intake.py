@@ -39,9 +39,8 @@ def start_intake(
     )
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    name = F.col("_metadata.file_name")
-    docs = reader.load(folder).select(name.alias("bundle_id"), "value")
-    docs = docs.filter(bundles.is_patient_file(F.col("bundle_id")))
+    docs = reader.load(folder).filter(bundles.is_patient_file(F.col("_metadata.file_name")))
+    docs = docs.select(F.col("_metadata.file_path").alias("bundle_id"), "value")
 
     def load(batch: DataFrame, number: int) -> None:
         label = f"{run}-{number:09d}"

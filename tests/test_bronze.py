@@ -62,6 +62,36 @@ def test_bad_arguments(spark, database):
         bronze.source(spark, "gold", database)
 
 
+def test_a_load_that_does_not_match_keeps_the_old_batch(spark, database, monkeypatch):
+    bronze.load_bronze(encounters(spark, None, None), "encounters", "replace", "one", AT, database=database)
+    kept = bronze._insert
+    monkeypatch.setattr(bronze, "_insert", lambda rows, *args, **kw: kept(rows.limit(1), *args, **kw))
+    with pytest.raises(bronze.LoadMismatch):
+        bronze.load_bronze(encounters(spark, None, None), "encounters", "replace", "two", AT, database=database)
+    assert batches(spark, database)["one"] == 2
+
+
+def test_columns_go_by_name(spark, database):
+    table = bronze.bronze_name("encounters", database)
+    fields = schemas.bronze_schema("encounters").fields
+    spark.sql(f"DROP TABLE {table}")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reversed(fields))
+    spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet PARTITIONED BY (load_batch_id)")
+    bronze.load_bronze(encounters(spark, None), "encounters", "replace", "one", AT, database=database)
+    assert bronze.source(spark, "encounters", database).first()["encounter_id"] == "e0"
+
+
+def test_times_of_an_hour_that_comes_twice(spark):
+    df = encounters(spark, "2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        typed = parsed.cast_to(df, schemas.RECORDS["encounters"], tz="UTC").select("start_time").collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert sorted(r[0] for r in typed) == [dt.datetime(2024, 11, 3, 5, 30), dt.datetime(2024, 11, 3, 6, 30)]
+
+
 def test_batch_id_format():
     assert bronze.new_batch_id(AT) == "2024-03-01_12-00-00"
 

@@ -102,7 +102,7 @@ def flat(staged):
 
 
 def names(df):
-    return sorted(r.bundle_id for r in df.select("bundle_id").collect())
+    return sorted(r.bundle_id.rsplit("/", 1)[-1] for r in df.select("bundle_id").collect())
 
 
 def test_only_patient_files_are_read(spark, folder):
@@ -116,6 +116,44 @@ def test_limit_takes_the_first_names(spark, folder):
     assert len(names(bundles.read_bundles(spark, folder, limit=100))) == 10
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    for folder, drug in (("a", "A"), ("b", "B")):
+        (tmp_path / folder).mkdir()
+        medication = {"resourceType": "Medication", "id": "m1", "code": {"coding": [{"code": drug}]}}
+        request = {"resourceType": "MedicationRequest", "id": f"r{drug}", "medicationReference": {"reference": "urn:uuid:m1"}}
+        document = {"resourceType": "Bundle", "entry": [{"resource": medication}, {"resource": request}]}
+        (tmp_path / folder / "p.json").write_text(json.dumps(document))
+    folders = [str(tmp_path / "a"), str(tmp_path / "b")]
+    found = bundles.read_bundles(spark, folders)
+    requests = flatten.flatten_medication_requests(bundles.stage_bundles(found).resources)
+    assert {(r.medication_request_id, r.medication_code) for r in requests.collect()} == {("rA", "A"), ("rB", "B")}
+    (first,) = bundles.read_bundles(spark, folders, limit=1).collect()
+    assert first.bundle_id.endswith("/a/p.json")
+
+
+@pytest.mark.parametrize(
+    ("text", "good"),
+    [('{"entry":[]}', True), ("{}", True), (' {"entry":[]} \n', True), ('{"entry":[]}{"entry":[]}', False), ('{"entry":[]},{"a":1}', False),
+     ('{"entry":[]}}', False), ('{"entry":[]}]', False), ("[]", False), ("null", False), ('{"entry":{"resource":1}}', False), ("", False)],
+)
+def test_only_whole_documents_are_good(spark, text, good):
+    df = spark.createDataFrame([("x", text)], "bundle_id string, value string")
+    assert bundles.decode_bundles(df).first()["bad"] is not good
+
+
+def test_lost_fields_are_reported(spark):
+    def observation(value):
+        return json.dumps({"resourceType": "Observation", "id": "o", "valueQuantity": {"value": value, "unit": "u"}})
+
+    texts = [observation(7.5), observation("7.5"), observation("high"), json.dumps({"resourceType": "Patient", "name": {"family": "x"}})]
+    rows = [("b", n, json.loads(t)["resourceType"], t) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "bundle_id string, pos int, resource_type string, resource string")
+    found = {r["pos"]: r["reason"] for r in flatten.unreadable(df).collect()}
+    assert found == {2: "value is not a number", 3: "field of another type"}
+    values = [r["value_numeric"] for r in flatten.flatten_observations(df).collect()]
+    assert sorted(values, key=str) == [7.5, 7.5, None]
+
+
 def test_empty_folder_is_refused(spark, tmp_path):
     (tmp_path / "hospitalInformation1.json").write_text("{}")
     with pytest.raises(ValueError, match="no patient bundles"):
@@ -126,11 +164,11 @@ def test_bad_documents_are_set_aside(spark, folder, staged):
     expected = {
         "bad_object.json": ("malformed document", "{bad"),
         "bad_list.json": ("not a JSON object", "[1,2]"),
-        "bad_tail.json": ("malformed document", '{"entry":[]} tail'),
+        "bad_tail.json": ("text after the document", '{"entry":[]} tail'),
         "bad_blank.json": ("not a JSON object", " \n"),
     }
     for quarantined in (staged.quarantine, bundles.split_bad_bundles(bundles.read_bundles(spark, folder))[1]):
-        assert {r.bundle_id: (r.reason, r.value) for r in quarantined.collect()} == expected
+        assert {r.bundle_id.rsplit("/", 1)[-1]: (r.reason, r.value) for r in quarantined.collect()} == expected
     good = bundles.split_bad_bundles(bundles.read_bundles(spark, folder))[0]
     assert names(good) == sorted([*FILES, "empty.json"])
 
@@ -224,7 +262,8 @@ def test_type_counts(spark, folder, staged, rows):
 def test_diagnostics(staged, rows):
     shapes = {r["shape"]: r["n"] for r in rows(inspect.observation_shapes(staged.resources))}
     assert shapes == {"valueQuantity": 4, "component": 4, "valueBoolean": 1, "valueCodeableConcept": 1, "valueString": 1}
-    assert [r["bundle_id"] for r in rows(inspect.unvalued_observations(staged.resources))] == ["Dan_4.json"]
+    (unvalued,) = rows(inspect.unvalued_observations(staged.resources))
+    assert unvalued["bundle_id"].endswith("/Dan_4.json")
     assert {r["field"] for r in rows(inspect.unvalued_fields(staged.resources))} == {"resourceType", "id", "valueBoolean"}
     observations = flatten.flatten_observations(staged.resources)
     assert inspect.empty_observation_counts(observations).first().asDict() == {
