@@ -22,28 +22,28 @@ def _model(name: str, key: str, required: tuple[str, ...], child: bool = True) -
     return tests + [ColumnTest(name, column, NOT_NULL) for column in required]
 
 
-def _accepted(name: str, column: str, values: str, nullable: bool = False) -> ColumnTest:
+def _accepted(name: str, column: str, values: tuple[str, ...], nullable: bool = False) -> ColumnTest:
     where = f"{column} IS NOT NULL" if nullable else None
-    return ColumnTest(name, column, ACCEPTED, tuple(values.split()), where)
+    return ColumnTest(name, column, ACCEPTED, values, where)
 
 
 # Required columns and accepted values.
 COLUMN_TESTS: list[ColumnTest] = [
     *_model("silver_patients", "patient_id", ("birth_date", "is_deceased"), child=False),
-    _accepted("silver_patients", "gender", "male female other unknown"),
+    _accepted("silver_patients", "gender", ("male", "female", "other", "unknown")),
     *_model("silver_encounters", "encounter_id", ("is_inpatient",)),
     _accepted(
-        "silver_encounters", "encounter_type", "ambulatory emergency inpatient home_health virtual"
+        "silver_encounters", "encounter_type", ("ambulatory", "emergency", "inpatient", "home_health", "virtual")
     ),
     *_model("silver_conditions", "condition_id", ("snomed_code", "is_billable_diagnosis")),
-    _accepted("silver_conditions", "clinical_category", "disorder finding situation unknown"),
-    _accepted("silver_conditions", "condition_flag", "diabetes_t2 hypertension heart_failure copd", True),
+    _accepted("silver_conditions", "clinical_category", ("disorder", "finding", "situation", "unknown")),
+    _accepted("silver_conditions", "condition_flag", ("diabetes_t2", "hypertension", "heart_failure", "copd"), True),
     *_model("silver_medications", "medication_request_id", ("medication_display",)),
-    _accepted("silver_medications", "status", "active completed"),
+    _accepted("silver_medications", "status", ("active", "completed")),
     _accepted(
         "silver_medications",
         "medication_flag",
-        "diabetes_drug antihypertensive heart_failure_drug copd_drug",
+        ("diabetes_drug", "antihypertensive", "heart_failure_drug", "copd_drug"),
         True,
     ),
     *_model(

@@ -148,6 +148,10 @@ MODELS: dict[str, tuple[str, Callable[..., DataFrame]]] = {
 }
 
 
+# Columns that reports filter the largest tables by.
+SORTED = {"silver_observations": "loinc_code"}
+
+
 def build_silver(
     bronze: Mapping[str, DataFrame],
     as_of: dt.date | str | None = None,
@@ -179,7 +183,7 @@ def materialize_silver(
     """
 
     def build(name: str, df: DataFrame) -> DataFrame:
-        return materialize(df, layer, name, "patient_id" if buckets else None, buckets)
+        return materialize(df, layer, name, "patient_id" if buckets else None, buckets, SORTED.get(name))
 
     models = build_silver(bronze, as_of, tiebreak)
     tables = run_together([partial(build, name, df) for name, df in models.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,24 +12,39 @@ from fhirlake.sources.bronze import LAYERS, create_layers
 
 
 def materialize(
-    df: DataFrame, layer: str, name: str, cluster_by: str | None = None, buckets: int | None = None
+    df: DataFrame,
+    layer: str,
+    name: str,
+    cluster_by: str | None = None,
+    buckets: int | None = None,
+    sort_by: str | None = None,
 ) -> DataFrame:
     """Rebuild ``layer.name`` as a physical table; the layer name is used verbatim.
 
     ``cluster_by`` and ``buckets`` bucket the table by a join key: joins between tables
     bucketed alike need no shuffle. Rows are brought together per bucket before the write,
     so that a bucket is not one file per task; the rebalance lets adaptive execution split
-    a bucket that a hot key has made large over several tasks and files.
+    a bucket that a hot key has made large over several tasks and files. ``sort_by`` sorts
+    each file, so that filters on the column skip row groups.
+
+    The new table is written under another name and takes the old one's place when it is
+    complete: a rebuild that fails leaves the old table as it is.
     """
     spark = df.sparkSession
     create_layers(spark, (layer,))
     if cluster_by and buckets:
         together = df.withColumn("_bucket", F.pmod(F.hash(cluster_by), F.lit(buckets)))
-        together = together.hint("rebalance", F.col("_bucket")).drop("_bucket")
-        writer = together.write.bucketBy(buckets, cluster_by)
-    else:
-        writer = df.write
-    writer.format("parquet").mode("overwrite").saveAsTable(f"{layer}.{name}")
+        df = together.hint("rebalance", F.col("_bucket")).drop("_bucket")
+    rows = df.sortWithinPartitions(sort_by) if sort_by else df
+    writer = rows.write.bucketBy(buckets, cluster_by) if cluster_by and buckets else rows.write
+    fresh = f"{layer}.{name}__{uuid.uuid4().hex}"
+    try:
+        writer.format("parquet").saveAsTable(fresh)
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
+    spark.sql(f"ALTER TABLE {fresh} RENAME TO {layer}.{name}")
     return spark.table(f"{layer}.{name}")
 
 

@@ -92,6 +92,17 @@ def test_times_of_an_hour_that_comes_twice(spark):
     assert sorted(r[0] for r in typed) == [dt.datetime(2024, 11, 3, 5, 30), dt.datetime(2024, 11, 3, 6, 30)]
 
 
+def test_a_rebuild_that_fails_keeps_the_old_table(spark, database):
+    catalog.materialize(spark.range(3).toDF("n"), database, "model")
+    broken = spark.range(3).select(F.raise_error(F.lit("no")).cast("long").alias("n"))
+    with pytest.raises(Exception, match="no"):
+        catalog.materialize(broken, database, "model")
+    assert spark.table(f"{database}.model").count() == 3
+    again = catalog.materialize(spark.table(f"{database}.model").filter("n > 0"), database, "model")
+    assert again.count() == 2
+    assert [t.name for t in spark.catalog.listTables(database) if t.name.startswith("model")] == ["model"]
+
+
 def test_batch_id_format():
     assert bronze.new_batch_id(AT) == "2024-03-01_12-00-00"
 
