@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fhirlake.llm.sampling import drawn
 from fhirlake.sources.shared import shared_dir
 
 # The skippable frame's magic number for dictionaries and the revisit profile's name.
@@ -120,7 +121,7 @@ def train(pages: DataFrame, key: str, payload: str, url: str, date: str) -> byte
     """A dictionary from a bounded sample of the records; empty when there are too few to build one."""
     body = F.substring(F.col(payload), 1, SAMPLE_CHARS)
     sample = pages.select(F.col(key).cast("string").alias("page_id"), F.col(url).alias("url"), body.alias("payload"))
-    sample = sample.filter("payload is not null").orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE_RECORDS)
+    sample = drawn(sample.filter("payload is not null"), SAMPLE_RECORDS, pages.count(), "page_id", "url", "payload")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         records = []
@@ -129,10 +130,13 @@ def train(pages: DataFrame, key: str, payload: str, url: str, date: str) -> byte
                 body = row["payload"].encode()
                 more = {"payload": body, "payload_bytes": len(body), "payload_digest": hashlib.sha256(body).hexdigest()}
                 records.append(record(row | more | {"record_type": "response"}, date))
-        try:
-            built = zstandard.train_dictionary(DICTIONARY_BYTES, records, k=512, d=8).as_bytes()
-        except zstandard.ZstdError:
-            built = b""
+        built = b""
+        for size in (DICTIONARY_BYTES >> n for n in (0, 2, 4, 6)):  # few records give a small one
+            try:
+                built = zstandard.train_dictionary(size, records, k=256, d=8).as_bytes()
+                break
+            except zstandard.ZstdError:
+                pass
         yield pa.RecordBatch.from_arrays([pa.array([built], pa.binary())], names=["dictionary"])
 
     found = sample.coalesce(1).mapInArrow(build, "dictionary binary").first()
@@ -179,7 +183,7 @@ def write_archives(
             for n in range(batch.num_rows):
                 if out is None:
                     name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(done)}.warc.zst"
-                    out, records = store.open_output_stream(f"{root}/{name}"), 0
+                    out, records = store.open_output_stream(f"{root}/{name}", compression=None), 0
                     if dictionary:
                         out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
                 row = batch.slice(n, 1).to_pylist()[0]
@@ -247,7 +251,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, *, payloads: bool =
             for path in batch.column(0).to_pylist():
                 store, name = fs.FileSystem.from_uri(path)
                 rows, size = [], 0
-                with store.open_input_stream(name) as stream:
+                with store.open_input_stream(name, compression=None) as stream:
                     for data in frames(stream):
                         rows.append(parse(data))
                         size += len(data) if payloads else 0
