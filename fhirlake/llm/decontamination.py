@@ -90,7 +90,7 @@ def grams(raw: np.ndarray, starts: np.ndarray, width: int, shorter: bool) -> tup
 
 
 def windows(docs: DataFrame, known: np.ndarray, lengths: np.ndarray, words: int, similarity: float) -> DataFrame:
-    """Item-sized windows that may hold an item: node, start (word), words, shingles, high, low.
+    """Item-sized windows that may hold an item: doc_id, node, start (word), words, shingles, high, low.
 
     `known` are the hashes of the benchmark's shingles (sorted) and `lengths` the items' lengths in words, a row for each
     shingle and length. A window is looked at if it starts with a shingle of an item of its length and has
@@ -106,9 +106,9 @@ def windows(docs: DataFrame, known: np.ndarray, lengths: np.ndarray, words: int,
         seen = np.zeros(1 << 24, bool)
         seen[known & U((1 << 24) - 1)] = True
         for batch in batches:
-            raw, starts = text_bytes(batch.column(1))
+            raw, starts = text_bytes(batch.column(2))
             for first, after in groups(starts, RUN_BYTES):
-                nodes = batch.column(0).slice(first, after - first)
+                names = [batch.column(i).slice(first, after - first) for i in (0, 1)]
                 for width in widths:
                     found, counted = grams(raw, starts[first : after + 1], width, False)
                     maybe = np.flatnonzero(counted & seen[found.hashes & U((1 << 24) - 1)])
@@ -140,17 +140,19 @@ def windows(docs: DataFrame, known: np.ndarray, lengths: np.ndarray, words: int,
                     owner = pa.array(found.owner[at])
                     yield pa.RecordBatch.from_arrays(
                         [
-                            nodes.take(owner),
+                            names[0].take(owner),
+                            names[1].take(owner),
                             pa.array(found.place[at]),
                             pa.array(size),
                             flat_lists(count, values.view(np.int64)),
                             pa.array(prints[:, 0]),
                             pa.array(prints[:, 1]),
                         ],
-                        names=["node", "start", "words", "shingles", "high", "low"],
+                        names=["doc_id", "node", "start", "words", "shingles", "high", "low"],
                     )
 
-    schema = "node binary, start long, words long, shingles array<long>, high long, low long"
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, node binary, start long, words long, shingles array<long>, high long, low long"
     return docs.mapInArrow(search, schema)
 
 
@@ -183,8 +185,8 @@ def contaminated(
     keys take part. With an empty table on either side there are no rows.
     """
     items = described(benchmark, item_key, item_text, words)
-    body = docs.select(normal(F.col(text)).alias("body"))
-    body = body.select(text_key(F.col("body")).alias("node"), "body").filter("node is not null")
+    body = docs.select(F.col(key).alias("doc_id"), normal(F.col(text)).alias("body"))
+    body = body.select("doc_id", text_key(F.col("body")).alias("node"), "body").filter("node is not null")
 
     plain = items.select("words", F.explode("grams").alias("gram")).distinct()
     slices = -(-plain.count() // SLICE_SHINGLES)
@@ -214,18 +216,17 @@ def contaminated(
     asked = distinct.select("content", "high", "low", F.explode(keys).alias("at"))
     asked = asked.select("content", "high", "low", "at.block", "at.bits")
     apart = F.bit_count(F.col("high").bitwiseXOR(F.col("h"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("l")))
-    near = asked.join(probes, ["block", "bits"]).filter((F.col("length") == F.col("content.words")) & (apart <= RADIUS))
+    # never broadcast: there are thousands of probes per item, which the estimate of their size leaves out
+    near = asked.join(probes.hint("merge"), ["block", "bits"]).filter((F.col("length") == F.col("content.words")) & (apart <= RADIUS))
     near = near.select("content", "item_id").distinct()
 
     of_items = items.select("item_id", F.col("shingles").alias("of_item"))
     same = near.join(distinct.select("content", "shingles"), "content").join(of_items, "item_id")
     same = same.withColumn("similarity", weighted_jaccard(F.col("shingles"), F.col("of_item")))
     same = same.filter(F.col("similarity") >= similarity).select("content", "item_id", "similarity")
-    places = found.select("content", "node", "start", "words").join(same, "content")
+    places = found.select("content", "doc_id", "node", "start", "words").join(same, "content")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "words")).alias("best")
-    per_text = places.groupBy("node", "item_id").agg(best)
-    names = docs.select(F.col(key).alias("doc_id"), text_key(normal(F.col(text))).alias("node")).distinct()
-    return names.join(per_text, "node").select(
+    return places.groupBy("doc_id", "node", "item_id").agg(best).select(
         "doc_id", "node", "item_id", (-F.col("best.back")).alias("start"), "best.words", "best.similarity"
     )
 
