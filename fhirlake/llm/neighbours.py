@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fhirlake.llm.sampling import drawn
 from fhirlake.sources.shared import through_table
 
 #: Bounded sample from which pivots are drawn; every row is indexed.
@@ -29,10 +30,10 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter("norm > 0").distinct()
 
 
-def choose_pivots(rows: DataFrame, count: int, longest: float) -> np.ndarray:
+def choose_pivots(rows: DataFrame, count: int, longest: float, total: int) -> np.ndarray:
     """`count` distinct lifted vectors, drawn by hash from a sample of eight times as many rows."""
-    drawn = rows.select("v", "norm").orderBy(F.xxhash64("id", "v")).limit(8 * count).collect()
-    lifted = lift(np.array([r["v"] for r in drawn], dtype=np.float64), longest)
+    sample = drawn(rows.select("id", "v"), 8 * count, total, "id", "v").collect()
+    lifted = lift(np.array([r["v"] for r in sample], dtype=np.float64), longest)
     _, first = np.unique(lifted, axis=0, return_index=True)
     return lifted[np.sort(first)[:count]]
 
@@ -166,7 +167,7 @@ def nearest(
     index = rows.select("id", "v", dealt(blocks).alias("block")).withColumn("query_block", every(query_blocks))
     asked = asked.withColumn("query_block", dealt(query_blocks)).withColumn("block", every(blocks))
     cell = ["block", "query_block"]
-    chosen = choose_pivots(rows, pivots, facts["longest"])
+    chosen = choose_pivots(rows, pivots, facts["longest"], facts["rows"])
     search = search_cell(chosen, facts["longest"], k, rerank_share, rerank_least)
     found = index.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(
         lambda left, right: search(left, right), schema
