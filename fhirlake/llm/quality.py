@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fhirlake.llm.spans import RUN_BYTES, RangeHash, U, groups, text_bytes
+from fhirlake.llm.sampling import drawn
+from fhirlake.llm.spans import RangeHash, U, groups, text_bytes
 
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -23,6 +23,8 @@ SYMBOLS = b"#$%&*!|<>{}[]~^=+\\_@`"
 
 #: The scorer is fitted on so many documents; statistics of the labellers cover all.
 TRAIN_ROWS = 5_000
+#: Features take some hundred bytes for each byte of text.
+RUN_BYTES = 1 << 19
 WORD_FEATURES, SHAPE_FEATURES = 1 << 15, 1 << 12
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
@@ -237,10 +239,10 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int
     """Fits the weak-label model on the votes about all texts, and the scorer on `rows` of them.
 
     Vote patterns are counted over all documents (there are at most 3^9 of them). The sample for the scorer is drawn by
-    hash of the text and bounded by `rows`; its targets are the posterior labels.
+    hash of key and text and bounded by `rows`; its targets are the posterior labels.
     """
     spark: SparkSession = docs.sparkSession
-    body = docs.select(F.lit(0).alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    body = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = _stop_hashes()
@@ -268,7 +270,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int
         weights = fit(found, np.concatenate(targets))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
-    sample = body.filter("text rlike '\\\\S'").orderBy(F.xxhash64("text")).limit(rows)
+    total = sum(r["n"] for r in seen)
+    sample = drawn(body.filter("text rlike '\\\\S'"), rows, total, "key", "text")
     (row,) = sample.coalesce(1).mapInArrow(learn, "weights binary").limit(1).collect()
     return Model(labellers, np.frombuffer(row["weights"]))
 
@@ -293,13 +296,14 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 def keep_good(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame:
     """`docs` without the rows whose text the scorer, trained on `docs`, rejects; texts without words are rejected."""
-    model = train(docs, text=text, **settings)
-    weights = model.weights
-    kept = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    weights = train(docs, text=text, **settings).weights
+    place = docs.columns.index(text)
 
-    @F.pandas_udf("boolean")
-    def good(column: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.nulls(len(column)), pa.array(column, pa.string())], names=["none", "text"])
-        return pd.Series(np.concatenate([scores(run, weights) for _, run in texts([batch])] or [[]]) >= 0.5)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = pa.compute.fill_null(batch.column(place), "")
+            pair = pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], names=["none", "text"])
+            kept = [scores(run, weights) >= 0.5 for _, run in texts([pair])]
+            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
 
-    return kept.filter(good("__text")).drop("__text")
+    return docs.mapInArrow(good, docs.schema)
