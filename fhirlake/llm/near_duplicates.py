@@ -16,6 +16,10 @@ from fhirlake.sources.shared import through_table
 
 #: Signature length and rows per band: at similarity 0.8 a pair is missed with probability 6e-5.
 COORDINATES, BAND_ROWS = 192, 6
+#: Members that a band's texts are compared with first are drawn in so many ways.
+LEADER_ORDERS = 4
+#: Texts of one band are compared in blocks of about so many.
+BLOCK_TEXTS = 256
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -119,6 +123,62 @@ def verified(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFr
     return both.filter(weighted_jaccard(F.col("of_a"), F.col("of_b")) >= similarity).select("a", "b")
 
 
+def cell_links(nodes: list[bytes], classes: list[bytes], shingles: pa.ChunkedArray, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links between the classes of at most 2 * BLOCK_TEXTS texts; as many as it takes to join what is linked."""
+    lists = shingles.combine_chunks()
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    several = times[column] > 1  # the others are in no intersection
+    owner, column = owner[several], column[several]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    column = np.cumsum(np.append(0, column[1:] != column[:-1])) if len(column) else column
+    common = np.zeros((len(sizes), len(sizes)), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 8192):  # in bounded steps
+        a, b = np.searchsorted(column, [lo, lo + 8192])
+        holds = np.zeros((len(sizes), 8192), np.float32)
+        holds[owner[a:b], column[a:b] - lo] = 1
+        common += holds @ holds.T
+    linked = common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-9
+    parent = {c: c for c in classes}
+
+    def root(c: bytes) -> bytes:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
+        x, y = root(classes[i]), root(classes[j])
+        if x != y:
+            parent[x] = y
+            found.append((nodes[i], nodes[j]))
+    return found
+
+
+def links_within(apart: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links between texts of one band that are in different components; `apart` has band, node, component, members.
+
+    A band's texts are dealt to blocks, and each pair of blocks is a cell of bounded size that
+    compares its texts exactly. Only links come out, and only those that join two components.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK_TEXTS).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    rows = apart.withColumn("blocks", blocks).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "component")
+    rows = rows.join(shingles, "node")
+
+    def compare(cell: pa.Table) -> pa.Table:
+        nodes, classes = cell["node"].to_pylist(), cell["component"].to_pylist()
+        found = cell_links(nodes, classes, cell["shingles"], similarity) if len(set(classes)) > 1 else []
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return rows.groupBy("band", "low", "high").applyInArrow(compare, "a binary, b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges: minimum labels with pointer jumping.
 
@@ -158,8 +218,8 @@ def classes(
     connected component of links, named by its smallest doc_id. Equal normal texts are one node from the start.
 
     Candidates share a band of their DartMinHash signatures. Every band's group is first compared with one
-    member drawn at random per band, which joins groups of copies without pairing them all; members of a group that are then
-    still in different classes are compared with each other. All candidates are verified exactly.
+    member drawn at random, which joins most groups of copies; groups whose members are then still in different
+    classes are compared inside cells of bounded size, which give out joining links only. All candidates are verified exactly.
 
     A null or empty text, or one without words, is alone in a class named by its own doc_id. Null keys take part;
     a class with only null keys has a null name. Repeated rows get a row each. Other columns are not read. An empty
@@ -168,7 +228,9 @@ def classes(
     table = signed(docs, key, text, words, coordinates, band_rows)
     nodes = table.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     bands = nodes.select("node", F.explode("bands").alias("band"))
-    drawn = F.min(F.struct(F.xxhash64("node", "band").alias("draw"), "node")).getField("node")
+    # a few orders for all bands, so that large groups of copies mostly meet the same few members
+    order = F.xxhash64("node", F.pmod(F.col("band"), F.lit(LEADER_ORDERS)))
+    drawn = F.min(F.struct(order.alias("draw"), "node")).getField("node")
     leaders = bands.groupBy("band").agg(F.count("*").alias("members"), drawn.alias("leader")).filter("members > 1")
     shared = through_table(bands.join(leaders, "band"), "near-bands")
 
@@ -181,18 +243,24 @@ def classes(
     # Groups of three or more with members still apart.
     apart = shared.filter("members > 2").select("band", "node").join(found, "node", "left")
     apart = apart.select("band", "node", F.coalesce("component", "node").alias("component"))
-    several = apart.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = through_table(apart.join(several.filter("low != high").select("band"), "band"), "near-apart")
-    left = apart.select("band", F.col("node").alias("a"), F.col("component").alias("of_a"))
-    right = apart.select("band", F.col("node").alias("b"), F.col("component").alias("of_b"))
-    rest = left.join(right, "band").filter("a < b and of_a != of_b").select("a", "b").distinct()
-    rest = through_table(rest.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-    more = through_table(verified(rest, shingles, similarity), "near-links")
-    if not more.isEmpty():
-        found = components(edges.unionByName(more))
-
+    several = apart.groupBy("band").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members")
+    )
+    apart = apart.join(several.filter("low != high").select("band", "members"), "band")
+    more = through_table(links_within(apart, shingles, similarity), "near-links")
     named = table.select("doc_id", "node").join(found, "node", "left")
     named = named.select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    if not more.isEmpty():
+        # components of components
+        of_a = found.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+        of_b = found.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+        between = more.join(of_a, "a", "left").join(of_b, "b", "left")
+        between = between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).distinct()
+        wider = components(between.filter("a != b")).select(
+            F.col("node").alias("component"), F.col("component").alias("wider")
+        )
+        named = named.join(wider, "component", "left")
+        named = named.select("doc_id", "node", F.coalesce("wider", "component").alias("component"))
     names = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     # rows without words have no component and keep their own name
     return named.join(names, "component", "left").select(

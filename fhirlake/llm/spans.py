@@ -93,7 +93,7 @@ def groups(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 BLANK = 32
 #: Texts are handled in runs of about so many bytes, to bound a task's memory.
-RUN_BYTES = 1 << 22
+RUN_BYTES = 1 << 21
 
 
 class Shingles:
