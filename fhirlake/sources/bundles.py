@@ -91,15 +91,13 @@ def decode_bundles(bundles: DataFrame) -> DataFrame:
 
 
 def _reason():
-    """Class of the error: an entry list of another type, text after a readable document, or neither."""
-    first = F.from_json(
-        "value", f"{schemas.BUNDLE}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    )
-    # The decoder stops at the end of the first document; what follows is the fault then.
+    """Class of the error: text after a readable document, or a document that is not readable as a bundle."""
+    # The first document in the text, and the text as a single one: different only if something follows.
+    first = F.get_json_object("value", "$").isNotNull()
+    whole = F.try_parse_json(F.concat(F.lit('{"d":'), F.col("value"), F.lit("}"))).isNotNull()
     return (
-        F.when(F.trim("value") == "", "empty document")
-        .when(~F.ltrim("value").startswith("{"), "not a JSON object")
-        .when(first.isNotNull() & first["_corrupt"].isNull(), "text after the document")
+        F.when(~F.ltrim("value").startswith("{"), "not a JSON object")
+        .when(first & ~whole, "text after the document")
         .otherwise("malformed document")
     )
 
