@@ -145,8 +145,9 @@ class Labellers:
 def estimate(votes: np.ndarray, weights: np.ndarray, rounds: int = 100) -> Labellers:
     """Accuracies of overlapping labellers on good and on bad texts, by expectation-maximisation.
 
-    `votes` has a row per pattern of votes and `weights` how many texts have it. Labellers are taken to call at most a
-    hundredth of good texts bad, for which their thresholds are set; this says which class is the good one.
+    `votes` has a row per pattern of votes and `weights` how many texts have it. The start
+    values say which class is the good one: labellers are right about it. A labeller may then turn out wrong on up to half
+    of the good texts, and blind to all but a twentieth of the bad ones.
     """
     model = Labellers(np.full(votes.shape[1], 0.995), np.full(votes.shape[1], 0.5), 0.8)
     for _ in range(rounds):
@@ -157,7 +158,7 @@ def estimate(votes: np.ndarray, weights: np.ndarray, rounds: int = 100) -> Label
         on_good = (9.5 + (good * (votes == GOOD)).sum(0)) / (10 + (good * voted).sum(0))
         on_bad = (5 + (bad * (votes == BAD)).sum(0)) / (10 + (bad * voted).sum(0))
         share = float(np.clip(good.sum() / weights.sum(), 0.02, 0.98))
-        model = Labellers(np.clip(on_good, 0.99, 0.999), np.clip(on_bad, 0.25, 0.99), share)
+        model = Labellers(np.clip(on_good, 0.5, 0.999), np.clip(on_bad, 0.05, 0.99), share)
     return model
 
 

@@ -20,6 +20,24 @@ def test_estimate_finds_the_accuracies():
     assert ((model.posterior(votes) > 0.5) == good).mean() > 0.97
 
 
+def test_a_labeller_that_misfires_on_good_texts():
+    rng = np.random.default_rng(3)
+    good = rng.random(100_000) < 0.85
+    on_bad = np.array([0.9, 0.6, 0.5, 0.7, 0.5, 0.6, 0.7, 0.4, 0.4])
+    for wrong in (0, 2, 8):
+        on_good = np.full(9, 0.997)
+        on_good[wrong] = 2 / 3
+        right = rng.random((len(good), 9)) < np.where(good[:, None], on_good, on_bad)
+        votes = np.where(right == good[:, None], quality.GOOD, quality.BAD)
+        votes[rng.random(votes.shape) < 0.2] = quality.ABSTAIN
+        patterns, counts = np.unique(votes, axis=0, return_counts=True)
+        model = quality.estimate(patterns, counts.astype(float))
+        kept = model.posterior(votes) > 0.5
+        misjudged = good & (votes[:, wrong] == quality.BAD)
+        assert abs(model.on_good[wrong] - 2 / 3) < 0.02
+        assert kept[misjudged].mean() > 0.97 and kept[good & ~misjudged].mean() > 0.99 and kept[~good].mean() < 0.06
+
+
 def test_against_the_labels(spark):
     docs = spark.read.parquet(f"{SF_MORE}/documents.parquet")
     found = quality.score(docs, quality.train(docs)).join(spark.read.parquet(f"{SF_MORE}/labels.parquet"), "doc_id")
