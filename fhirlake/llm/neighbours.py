@@ -30,12 +30,22 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter("norm > 0").distinct()
 
 
-def choose_pivots(rows: DataFrame, count: int, longest: float, total: int) -> np.ndarray:
-    """`count` distinct lifted vectors, drawn by hash from a sample of eight times as many rows."""
+def choose_pivots(rows: DataFrame, count: int, longest: float, total: int) -> list[np.ndarray]:
+    """Two sets of `count` distinct lifted vectors, from a sample of eight times as many rows drawn by hash.
+
+    Those of the first are each farthest from the ones before, so that a large cluster does not take most of them;
+    those of the second follow the rows, and tell the members of a large cluster apart.
+    """
     sample = drawn(rows.select("id", "v"), 8 * count, total, "id", "v").collect()
     lifted = lift(np.array([r["v"] for r in sample], dtype=np.float64), longest)
     _, first = np.unique(lifted, axis=0, return_index=True)
-    return lifted[np.sort(first)[:count]]
+    distinct = lifted[np.sort(first)]
+    chosen, nearest_chosen = [0], distinct @ distinct[0]
+    while len(chosen) < min(count, len(distinct)):
+        nearest_chosen[chosen] = np.inf
+        chosen.append(int(np.argmin(nearest_chosen)))
+        nearest_chosen = np.maximum(nearest_chosen, distinct @ distinct[chosen[-1]])
+    return [distinct[chosen], distinct[:count]]
 
 
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -58,7 +68,7 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def search_cell(
-    pivots: np.ndarray, longest: float, k: int, share: float, least: int
+    pivot_sets: list[np.ndarray], longest: float, k: int, share: float, least: int
 ) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Searches one block of the index for one block of queries."""
 
@@ -79,28 +89,33 @@ def search_cell(
             members = np.argsort(copy_of, kind="stable")
             begins = np.searchsorted(copy_of[members], np.arange(len(distinct) + 1))
 
-            # The inverted files: for each pivot its position in every vector's list.
-            files = np.ascontiguousarray(positions(lift(distinct, longest), pivots).T)
+            # The inverted files of each set: for each pivot its position in every vector's list.
+            lifted = lift(distinct, longest)
+            files = [np.ascontiguousarray(positions(lifted, pivots).T) for pivots in pivot_sets]
             count = min(len(distinct), max(least, int(share * len(distinct))))
             query_ids, q = queries["id"].to_numpy(), matrix(queries["v"])
-            lists = positions(np.hstack([q, np.zeros((len(q), 1))]), pivots)
+            flat = np.hstack([q, np.zeros((len(q), 1))])
+            lists = [positions(flat, pivots) for pivots in pivot_sets]
             numbers = np.arange(len(distinct), dtype=np.int64)
-            footrule = np.empty(len(distinct), np.int16 if len(pivots) <= 256 else np.int32)
-            for query, vector, places in zip(query_ids, q, lists):
-                footrule[:] = 0
-                for file, place in zip(files, places):
-                    gap = file - place
-                    np.abs(gap, out=gap)
-                    footrule += gap
+            footrule = np.empty(len(distinct), np.int16 if len(pivot_sets[0]) <= 256 else np.int32)
+            for n, (query, vector) in enumerate(zip(query_ids, q)):
                 near = numbers
                 if count < len(distinct):
-                    ranked = footrule.astype(np.int64) * len(distinct) + numbers
-                    near = np.argpartition(ranked, count - 1)[:count]
+                    best_of = []
+                    for own_files, own_lists in zip(files, lists):
+                        footrule[:] = 0
+                        for file, place in zip(own_files, own_lists[n]):
+                            gap = file - place
+                            np.abs(gap, out=gap)
+                            footrule += gap
+                        ranked = footrule.astype(np.int64) * len(distinct) + numbers
+                        best_of.append(np.argpartition(ranked, count - 1)[:count])
+                    near = np.unique(np.concatenate(best_of))
                 score = distinct[near] @ vector
                 if len(near) > k + 1:  # the query's own vector may be among them
                     bound = -np.partition(-score, k)[k]
                     near, score = near[score >= bound], score[score >= bound]
-                found = [(members[begins[n] : begins[n + 1]][: k + 1], s) for n, s in zip(near, score)]
+                found = [(members[begins[m] : begins[m + 1]][: k + 1], s) for m, s in zip(near, score)]
                 own = np.concatenate([ids[m] for m, _ in found])
                 value = np.repeat([s for _, s in found], [len(m) for m, _ in found])
                 own, value = own[own != query], value[own != query]
@@ -132,11 +147,11 @@ def nearest(
 ) -> DataFrame:
     """For each query row its `k` nearest other rows by inner product: query_id, rank, vec_id, score.
 
-    A vector is represented by the order of its nearest `pivots`, which are drawn from a bounded sample. The
-    rows are dealt to blocks of about `block_rows`, each with its own inverted files (for every pivot the positions it
+    A vector is represented by the orders of its nearest `pivots` in two sets, one chosen farthest first and one at
+    random, from a bounded sample. The rows are dealt to blocks of about `block_rows`, each with its own inverted files (for every pivot the positions it
     has in the block's vectors). Blocks of queries visit all blocks of the index; in a cell, vectors are ranked
     by the footrule distance of the orders, and the best `rerank_share` of them (at least `rerank_least`) by
-    the inner product in double precision. The best `k` of all blocks are kept, ties to the smaller id.
+    either set are ranked by the inner product in double precision. The best `k` of all blocks are kept, ties to the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null
     id or vectors whose length is not the most frequent one. Rows equal in id and vector count once; rows that

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from conftest_llm import SF, read
 
 from fhirlake.llm.neighbours import nearest
@@ -53,6 +54,23 @@ def test_recall_of_the_index(spark):
     assert hits / (120 * 20) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.003, 0.1])
+def test_recall_with_a_third_in_one_cluster(spark, spread):
+    rng = np.random.default_rng(1)
+    x, hot = rng.normal(size=(12_000, 64)), np.arange(12_000) % 3 == 1
+    x[hot] = rng.normal(size=64) + spread * x[hot]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = mine(df, df.filter("vec_id % 100 = 0"), 20, block_rows=6_000, rerank_least=100)
+    hits = defaultdict(list)
+    for q in range(0, 12_000, 100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits[bool(hot[q])].append(len(set(np.argsort(-score)[:20]) & {i for i, _ in got[q]}) / 20)
+    print("recall", {h: np.mean(r) for h, r in hits.items()})
+    assert np.mean(hits[False]) >= 0.9 and np.mean(hits[True]) >= 0.9
+
+
 def test_edges(table):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0]), (40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [inf, 1.0]), (120, [None, 1.0])]
