@@ -5,6 +5,8 @@ DataFrame functions and Spark's own forest only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -47,7 +49,8 @@ EXAMPLES = [
     ("your_token_here_1234", "token", False),
     ("00000000000000000000", "id", False),
 ]
-DICTIONARY_WORDS, DICTIONARY_TEXTS = 20_000, 2_000
+#: A word of the dictionary is in this share of all texts, and in so many at least.
+DICTIONARY_SHARE, DICTIONARY_LEAST = 0.0015, 3
 TRAIN_ROWS = 20_000
 FEATURES = [
     "length", "digits", "upper", "lower", "marks", "changes", "kinds", "variety", "entropy", "hex", "vowels", "run",
@@ -161,12 +164,12 @@ def candidates(rows: DataFrame) -> DataFrame:
     )
 
 
-def dictionary(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Frequent lower-case words of a bounded sample of texts; part of fitting the classifier."""
-    sample = drawn(docs.filter(F.col(text).isNotNull()).select(key, text), DICTIONARY_TEXTS, docs.count(), key, text)
-    words = sample.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("part"))
-    counts = words.filter("length(part) >= 3").groupBy("part").count().filter("count >= 3")
-    return counts.orderBy(F.desc("count"), "part").limit(DICTIONARY_WORDS).select("part", F.lit(1).alias("known"))
+def dictionary(docs: DataFrame, text: str) -> DataFrame:
+    """Lower-case words that are in a share of all texts; the share bounds their number, whatever the number of texts."""
+    texts = docs.filter(F.col(text).isNotNull()).select(text)
+    least = max(DICTIONARY_LEAST, math.ceil(DICTIONARY_SHARE * texts.count()))
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("part"))
+    return words.filter("length(part) >= 3").groupBy("part").count().filter(F.col("count") >= least).select("part")
 
 
 def described(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -208,9 +211,9 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64(F.lower("after")), F.lit(32)).cast("int").alias("after_bucket"),
     )
     rows = rows.drop("path").withColumnRenamed("path_like", "path")
-    # coverage by dictionary words; the dictionary is bounded, so it may be broadcast
+    # coverage by dictionary words
     parts = rows.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), r"[^\p{L}]+")).alias("part"))
-    cover = parts.filter("length(part) >= 3").join(F.broadcast(words), "part").groupBy("value").agg(F.sum(F.length("part")).alias("letters"))
+    cover = parts.filter("length(part) >= 3").join(words, "part").groupBy("value").agg(F.sum(F.length("part")).alias("letters"))
     rows = rows.join(cover, "value", "left")
     return rows.withColumn("covered", F.coalesce(F.col("letters") / F.col("length"), F.lit(0.0))).drop("letters")
 
@@ -271,7 +274,7 @@ def scan(
     keys take part. Other columns are not read. An empty table gives no rows.
     """
     rows = screened(docs, key, text, path)
-    words = through_table(dictionary(docs, key, text), "secrets-dictionary")
+    words = through_table(dictionary(docs, text), "secrets-dictionary")
     found = through_table(described(candidates(rows), words), "secrets-candidates")
     model = train(labelled(found) if findings is None else findings, words)
     scored = model.transform(vectors(found)).withColumn("score", vector_to_array("probability")[1])

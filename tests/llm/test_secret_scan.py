@@ -73,6 +73,15 @@ def test_values_inside_words(table):
     assert not any(v == "bob" for *_, v in values)
 
 
+def test_dictionary_covers_all_texts(table):
+    name = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    hot = " ".join(f"w{name(n)}" for n in range(25_000))
+    rows = [(n, "every word here") for n in range(5_000)] + [(n, hot) for n in range(5_000, 5_015)] + [(n, "seldom") for n in range(5_015, 5_024)]
+    rows += [(n, "rare") for n in range(5_024, 5_030)]
+    found = {r["part"] for r in secret_scan.dictionary(table(rows, "doc_id long, text string"), "text").collect()}
+    assert len(found) == 25_004 and "seldom" in found and "rare" not in found
+
+
 def test_plan_has_no_python(table):
     df = table([(1, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "s")], "doc_id long, text string, source string")
     plan = secret_scan.scan(df)._jdf.queryExecution().executedPlan().toString()
