@@ -219,14 +219,15 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """Labels that need no judgement: published formats and named random values are secrets, mail, web and network
+    """Labels that need no judgement: published formats, named random values and short named values of mixed characters are secrets, mail, web and network
     addresses, paths, plain numbers and placeholders are not. Others get no label."""
     formats = F.col("value").rlike(f"^{ANY_FORMAT}$")
     named = (F.col("named") == 1) & (F.col("entropy") >= 3) & (F.col("length") >= 16) & (F.col("covered") < 0.3)
+    mixed = (F.col("named") == 1) & (F.col("length") < 16) & (F.col("kinds") >= 3) & (F.col("digits") > 0) & (F.col("covered") < 0.3)
     plain = r"^[0-9.,:+()TZ-]+$"
     benign = (F.col("mail") == 1) | (F.col("web") == 1) | F.col("value").rlike(plain) | (F.col("covered") > 0.7)
     benign |= F.col("value").rlike(r"(?i)(example|placeholder|your[_-]|xxxx|1234567|changeme)") | (F.col("entropy") < 2)
-    return found.withColumn("label", F.when(benign & ~formats, 0.0).when(formats | named, 1.0)).filter("label is not null")
+    return found.withColumn("label", F.when(benign & ~formats, 0.0).when(formats | named | mixed, 1.0)).filter("label is not null")
 
 
 def examples(spark: SparkSession) -> DataFrame:

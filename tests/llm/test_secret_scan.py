@@ -82,6 +82,18 @@ def test_dictionary_covers_all_texts(table):
     assert len(found) == 25_004 and "seldom" in found and "rare" not in found
 
 
+def test_short_passwords_among_many_benign_values(table):
+    rng = random.Random(4)
+    words = ["required", "missing", "unknown", "optional", "disabled", "renewed"]
+    texts = [f"the password: {rng.choice(words)} since" for _ in range(1_500)]
+    for n in range(40):
+        value = "".join(rng.choices("abcdefghkmnpqrstuvwxyz", k=n % 8 + 2)) + rng.choice("ABCDEFGHKLMN") + f"{rng.randrange(100, 1000)}"
+        texts.append(f"the password: {''.join(rng.sample(value, len(value)))} since")
+    df = table([(n, t, "s") for n, t in enumerate(texts)], "doc_id long, text string, source string")
+    found = {r["doc_id"] for r in secret_scan.scan(df).collect()}
+    assert len(found & set(range(1_500, 1_540))) >= 38 and len(found & set(range(1_500))) == 0
+
+
 def test_plan_has_no_python(table):
     df = table([(1, 'token = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', "s")], "doc_id long, text string, source string")
     plan = secret_scan.scan(df)._jdf.queryExecution().executedPlan().toString()
