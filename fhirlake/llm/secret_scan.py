@@ -51,6 +51,7 @@ EXAMPLES = [
 ]
 #: A word of the dictionary is in this share of all texts, and in so many at least.
 DICTIONARY_SHARE, DICTIONARY_LEAST = 0.0015, 3
+SALTS = 16
 TRAIN_ROWS = 20_000
 FEATURES = [
     "length", "digits", "upper", "lower", "marks", "changes", "kinds", "variety", "entropy", "hex", "vowels", "run",
@@ -211,10 +212,13 @@ def described(found: DataFrame, words: DataFrame) -> DataFrame:
         F.pmod(F.xxhash64(F.lower("after")), F.lit(32)).cast("int").alias("after_bucket"),
     )
     rows = rows.drop("path").withColumnRenamed("path_like", "path")
-    # coverage by dictionary words
-    parts = rows.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), r"[^\p{L}]+")).alias("part"))
-    cover = parts.filter("length(part) >= 3").join(words, "part").groupBy("value").agg(F.sum(F.length("part")).alias("letters"))
-    rows = rows.join(cover, "value", "left")
+    # coverage by dictionary words; a part in very many values is spread over salts
+    own = ["id", "word", "value"]
+    parts = rows.select(*own).distinct().select(*own, F.explode(F.split(F.lower("value"), r"[^\p{L}]+")).alias("part"))
+    parts = parts.filter("length(part) >= 3").withColumn("salt", F.pmod(F.xxhash64("id", "word"), F.lit(SALTS)).cast("int"))
+    words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cover = parts.join(words, ["part", "salt"]).groupBy(*own).agg(F.sum(F.length("part")).alias("letters"))
+    rows = rows.join(cover, own, "left")
     return rows.withColumn("covered", F.coalesce(F.col("letters") / F.col("length"), F.lit(0.0))).drop("letters")
 
 
