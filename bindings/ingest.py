@@ -7,7 +7,9 @@ what is read back.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +100,151 @@ _QUARANTINE = (
     "ELSE 'not a JSON object' END AS reason, CASE WHEN c_custkey % 17 = 0 THEN '{bad' || c_custkey ELSE '[1,2]' END AS value "
     f"FROM customer WHERE NOT ({READABLE})"
 )
-register("S04_quarantine", lambda d: bundles.split_bad_bundles(d.bundles("customer"))[1], _QUARANTINE)
-register("S04_staged_quarantine", lambda d: bundles.stage_bundles(d.bundles("customer")).quarantine, _QUARANTINE)
+register("S04_quarantine", lambda d: bundles.split_bad_bundles(d.bundles("customer"))[1].drop("raw"), _QUARANTINE)
+register("S04_staged_quarantine", lambda d: bundles.stage_bundles(d.bundles("customer")).quarantine.drop("raw"), _QUARANTINE)
+
+
+def _bytes(d: Data) -> DataFrame:
+    """The customers' documents as bytes; in every third the letter after `"id":"` is no UTF-8."""
+    third = F.substr("bundle_id", F.lit(2)).cast("long") % 3 == 0
+    place = F.expr("""instr(value, '"id":"') + 5""")
+    broken = F.concat(
+        F.expr("left(value, 0)").cast("binary"),
+        F.substring(F.col("value"), F.lit(1), place).cast("binary"),
+        F.lit(b"\xff"),
+        F.expr("""substring(value, instr(value, '"id":"') + 6)""").cast("binary"),
+    )
+    value = F.when(third, broken).otherwise(F.col("value").cast("binary"))
+    return d.bundles("customer").withColumn("value", value)
+
+
+# What the documents are made of (see documents.CUSTOMER_DOC): a readable one has its id right after the type.
+_THIRD = "c_custkey % 3 = 0"
+_BYTES_TEXT = f"CASE WHEN c_custkey % 17 = 0 THEN '{{bad' || c_custkey WHEN c_custkey % 19 = 0 THEN '[1,2]' ELSE '{{}}' END"
+register(
+    "S03_strict_decode",
+    lambda d: bundles.decode_bundles(_bytes(d)).select("bundle_id", "bad", F.col("raw").isNotNull().alias("has_bytes")),
+    f"SELECT 'c' || c_custkey AS bundle_id, {_THIRD} OR NOT ({READABLE}) AS bad, {_THIRD} AS has_bytes FROM customer",
+)
+
+
+def _bad_bytes(d: Data) -> DataFrame:
+    """The staged quarantine: reason, the parser's message, and whether the bytes are those that were read."""
+    given = _bytes(d).select("bundle_id", F.sha2("value", 256).alias("given"))
+    found = bundles.failure_messages(bundles.stage_bundles(_bytes(d)).quarantine)
+    kept = F.sha2(F.coalesce("raw", F.col("value").cast("binary")), 256)
+    same = found.withColumn("kept", kept).join(given, "bundle_id")
+    return same.select("bundle_id", "reason", "message", (F.col("kept") == F.col("given")).alias("whole"))
+
+
+# The byte replaces nothing, it stands before the sixth character after the place of `"id":"`, or first where there is none.
+_AT = "CASE WHEN {filled} THEN 31 ELSE 5 END".format(filled=FILLED)
+register(
+    "S04_bytes",
+    _bad_bytes,
+    f"SELECT 'c' || c_custkey AS bundle_id, CASE WHEN {_THIRD} THEN 'not UTF-8' WHEN c_custkey % 17 = 0 THEN 'malformed document' "
+    "ELSE 'not a JSON object' END AS reason, "
+    f"CASE WHEN {_THIRD} THEN 'UnicodeDecodeError: ''utf-8'' codec can''t decode byte 0xff in position ' || least(place, size) || ': invalid start byte' "
+    "WHEN c_custkey % 17 = 0 THEN 'JSONDecodeError: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' "
+    "ELSE 'TypeError: a bundle must be an object, not list' END AS message, true AS whole "
+    f"FROM (SELECT *, {_AT} AS place, CASE WHEN {FILLED} THEN 31 ELSE length({_BYTES_TEXT}) END AS size FROM customer) "
+    f"WHERE {_THIRD} OR NOT ({READABLE})",
+)
+
+
+# --- files: two folders with equal names, bad files, files without a byte, names to skip ---
+
+PER_NAMED = 25
+
+
+def _write_named(files: DataFrame, folder: str) -> DataFrame:
+    """(name, content) as files of these names; a repeated task writes the same bytes again."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        there, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(*(batch.column(c).to_pylist() for c in ("name", "content"))):
+                place = f"{path}/{name}"
+                there.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with there.open_output_stream(place, compression=None) as out:
+                    out.write(content)
+            yield batch.select(["name"])
+
+    return files.select("name", "content").mapInArrow(write, "name string")
+
+
+def _named_files(d: Data) -> list[str]:
+    """Folders a and b with a file of the same name per 25 customers; in a some are bad, in b all are good.
+
+    Beside them stand files whose names are to be skipped.
+    """
+    folder = shared.shared_dir(d.spark, "files")
+    folder = folder if ":" in folder else f"file://{folder}"
+    number = F.floor(F.col("c_custkey") / PER_NAMED).cast("string")
+    groups = d.table("customer").groupBy(number.alias("n")).agg(F.count("*").alias("entries"))
+    bundle = F.concat(F.lit('{"entry":['), F.array_join(F.array_repeat(F.lit("{}"), F.col("entries").cast("int")), ","), F.lit("]}"))
+    kind = F.col("n").cast("long") % 4
+    bad = F.when(kind == 1, F.lit(b"")).when(kind == 2, F.lit(b'{"id":"\xff"}')).when(kind == 3, F.lit(b"{bad"))
+    groups = groups.withColumn("good", bundle.cast("binary"))
+    names = {"a/b": ".json", "b/b": ".json", "a/hospitalInformation": ".json", "b/practitionerInformation": ".json", "b/n": ".txt"}
+    files = F.array(
+        *[
+            F.struct(
+                F.concat(F.lit(start), "n", F.lit(end)).alias("name"),
+                F.coalesce(bad if start == "a/b" else F.col("good"), "good").alias("content"),
+            )
+            for start, end in names.items()
+        ]
+    )
+    _write_named(groups.select(F.inline(files)), folder).count()
+    return [f"{folder}/a", f"{folder}/b"]
+
+
+def _with_names(found: DataFrame) -> DataFrame:
+    part = F.split("bundle_id", "/")
+    return found.withColumns({"folder": F.element_at(part, -2), "name": F.element_at(part, -1)})
+
+
+_NAMED = (
+    "SELECT folder, 'b' || n || '.json' AS name, entries, folder = 'a' AND n % 4 <> 0 AS bad, "
+    "CASE WHEN folder = 'b' OR n % 4 = 0 THEN NULL WHEN n % 4 = 1 THEN 'empty file' WHEN n % 4 = 2 THEN 'not UTF-8' ELSE 'malformed document' END AS reason "
+    f"FROM (SELECT c_custkey // {PER_NAMED} AS n, count(*) AS entries FROM customer GROUP BY 1), (VALUES ('a'), ('b')) f(folder)"
+)
+register(
+    "S01_named_files",
+    lambda d: _with_names(bundles.decode_bundles(bundles.read_bundles(d.spark, _named_files(d)))).select(
+        "folder", "name", "bad", F.when(~F.col("bad"), F.size("entry").cast("long")).alias("entries")
+    ),
+    f"SELECT folder, name, bad, CASE WHEN NOT bad THEN entries END AS entries FROM ({_NAMED})",
+)
+FIRST_FILES = 7
+register(
+    "S02_first_named_files",
+    lambda d: _with_names(bundles.decode_bundles(bundles.read_bundles(d.spark, _named_files(d), limit=FIRST_FILES))).select(
+        "folder", "name", "bad"
+    ),
+    f"SELECT folder, name, bad FROM ({_NAMED}) ORDER BY name, folder LIMIT {FIRST_FILES}",
+)
+register(
+    "S05_failed_files",
+    lambda d: _with_names(bundles.stage_bundles(bundles.read_bundles(d.spark, _named_files(d))).quarantine).select("folder", "name", "reason"),
+    f"SELECT folder, name, reason FROM ({_NAMED}) WHERE bad",
+)
+register(
+    "S06_file_index",
+    lambda d: _with_names(bundles.file_index(d.spark, _named_files(d)).drop("name")).select("folder", "name", "length"),
+    "SELECT folder, name, CASE reason WHEN 'empty file' THEN 0 WHEN 'not UTF-8' THEN 10 WHEN 'malformed document' THEN 4 "
+    f"ELSE 12 + entries * 2 + entries - 1 END AS length FROM ({_NAMED})",
+)
+
+
+def _observed(d: Data, types: tuple[str, ...]) -> DataFrame:
+    """What the staging write observed, and the entries of every type, kept or not."""
+    staged = bundles.stage_bundles(d.bundles(), types=types)
+    seen = d.spark.createDataFrame(list(staged.metrics.items()), "item string, n long")
+    return seen.unionByName(bundles.resource_type_counts(staged).withColumnRenamed("resource_type", "item"))
 
 
 def _report(d: Data) -> DataFrame:
@@ -407,6 +552,29 @@ _TYPE_COUNTS = (
     "count(*) + count(*) FILTER (WHERE o_orderkey % 6 = 1) FROM orders WHERE o_orderkey % 6 IN (0, 1, 3, 5) "
     "UNION ALL SELECT 'Observation', count(*) FROM events"
 )
+_OK = f"(SELECT count(*) FROM customer WHERE {READABLE}) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events)"
+
+
+def _observed_sql(types: tuple[str, ...]) -> str:
+    kept = f"resource_type IN ({', '.join(f"'{t}'" for t in types)})"
+    return (
+        f"WITH by_type AS ({_TYPE_COUNTS}) SELECT resource_type AS item, n FROM by_type "
+        f"UNION ALL SELECT 'bundles_ok', {_OK} UNION ALL SELECT 'bundles_failed', count(*) FROM customer WHERE NOT ({READABLE}) "
+        "UNION ALL SELECT 'entries', cast(sum(n) AS bigint) FROM by_type "
+        f"UNION ALL SELECT 'entries_kept', cast(coalesce(sum(n), 0) AS bigint) FROM by_type WHERE {kept} "
+        f"UNION ALL SELECT 'entries_dropped', cast(coalesce(sum(n), 0) AS bigint) FROM by_type WHERE NOT {kept}"
+    )
+
+
+register("S05_observed", lambda d: _observed(d, flatten.SOURCE_TYPES), _observed_sql(flatten.SOURCE_TYPES))
+register("S05_observed_few_types", lambda d: _observed(d, ("Patient", "Condition")), _observed_sql(("Patient", "Condition")))
+register(
+    "N16_dropped_per_bundle",
+    lambda d: bundles.resource_type_counts(bundles.stage_bundles(d.bundles("customer"), types=("Encounter",)), per_bundle=True),
+    f"SELECT 'c' || c_custkey AS bundle_id, 'Patient' AS resource_type, 1 AS n FROM customer WHERE {FILLED} "
+    "UNION ALL SELECT 'c' || c_custkey, 'Unknown', cast(c_custkey % 13 = 0 AS int) + cast(c_custkey % 29 = 0 AS int) "
+    f"FROM customer WHERE {FILLED} AND (c_custkey % 13 = 0 OR c_custkey % 29 = 0)",
+)
 register("N16_resource_type_counts", lambda d: bundles.resource_type_counts(bundles.stage_bundles(d.bundles()).entries), _TYPE_COUNTS)
 register(
     "N16_resource_type_totals",

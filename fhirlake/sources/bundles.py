@@ -1,16 +1,20 @@
 """Patient bundles: one JSON document per file, decoded and unnested as Spark rows.
 
-A decoded bundle is ``(bundle_id, value, entry, bad)``; ``bad`` marks documents that
-are not readable as a bundle. They are set aside, never allowed to stop a run.
+A decoded bundle is ``(bundle_id, value, entry, bad, raw)``; ``bad`` marks documents that
+are not readable as a bundle, ``raw`` holds the bytes of those that are not UTF-8. They are set
+aside, never allowed to stop a run.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+import json
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fhirlake import schemas
 from fhirlake.sources.shared import shared_dir
@@ -22,6 +26,8 @@ UNKNOWN_TYPE = "Unknown"
 
 # Partition of a staged ingest that holds one row per bundle instead of resources.
 BUNDLE_ROW = "_bundle"
+# Partition of a staged ingest that holds one row per bundle and resource type that was not kept.
+DROPPED_ROW = "_dropped"
 
 
 def is_patient_file(name):
@@ -31,34 +37,48 @@ def is_patient_file(name):
     return wanted
 
 
+def _contents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", FILE_PATTERN).load(path)
+
+
+def file_index(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Patient files of the folder(s) as ``(bundle_id, name, length)``, from metadata alone.
+
+    Spark's file sources leave out files without a byte when they read. The listing has them, so what is
+    listed and not read is such a file (length 0). As for any file scan, the listing lies on the driver.
+    """
+    found = _contents(spark, path)
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "file string")
+    # the listing writes an empty authority, file metadata do not
+    listed = listed.select(F.regexp_replace("file", "^([^:/]+):///", "$1:/").alias("bundle_id"))
+    read = found.select(F.col("_metadata.file_path").alias("bundle_id"), "length")
+    last = F.replace(F.element_at(F.split("bundle_id", "/"), -1), F.lit("+"), F.lit("%2B"))
+    index = listed.join(read, "bundle_id", "left").select(
+        "bundle_id", F.url_decode(last).alias("name"), F.coalesce("length", F.lit(0)).alias("length")
+    )
+    return index.filter(is_patient_file(F.col("name")))
+
+
 def read_bundles(spark: SparkSession, path: str | list[str], limit: int | None = None) -> DataFrame:
-    """Bundle files of the folder(s) as ``(bundle_id, value)``; optionally the first n by name.
+    """Bundle files of the folder(s) as ``(bundle_id, value)``, the value as bytes; optionally the first n by name.
 
     The id is the file's path, so that files of one name in several folders stay apart; equal names
-    are ordered by path. Only the file at the cut reaches the driver: files are listed without reading
-    their contents, and the cut is then a filter on file metadata, which prunes the listing.
+    are ordered by path. Files without a byte have an empty value. Only the file at the cut reaches the driver: files are
+    listed without reading their contents, and the cut is then a filter on file metadata, which prunes the listing.
     """
-    name, where = F.col("_metadata.file_name"), F.col("_metadata.file_path")
-    docs = (
-        spark.read.format("text")
-        .option("wholetext", True)
-        .option("pathGlobFilter", FILE_PATTERN)
-        .load(path)
-        .filter(is_patient_file(name))
+    index = file_index(spark, path)
+    docs = _contents(spark, path).select(
+        F.col("_metadata.file_path").alias("bundle_id"), F.col("_metadata.file_name").alias("name"), F.col("content").alias("value")
     )
+    docs = docs.filter(is_patient_file(F.col("name")))
+    empty = index.filter("length = 0").select("bundle_id", "name", F.lit(b"").alias("value"))
     if limit is not None:
-        names = (
-            spark.read.format("binaryFile")
-            .option("pathGlobFilter", FILE_PATTERN)
-            .load(path)
-            .select(name.alias("name"), where.alias("path"))
-            .filter(is_patient_file(F.col("name")))
-        )
-        cut = names.orderBy("name", "path").limit(limit).agg(F.max(F.struct("name", "path"))).first()[0]
-        if cut is None:
-            return docs.limit(0).select(where.alias("bundle_id"), "value")
-        docs = docs.filter((name < cut["name"]) | ((name == cut["name"]) & (where <= cut["path"])))
-    return docs.select(where.alias("bundle_id"), "value")
+        cut = index.orderBy("name", "bundle_id").limit(limit).agg(F.max(F.struct("name", "bundle_id"))).first()[0]
+        kept = F.lit(False)
+        if cut is not None:
+            kept = (F.col("name") < cut["name"]) | ((F.col("name") == cut["name"]) & (F.col("bundle_id") <= cut["bundle_id"]))
+        docs, empty = docs.filter(kept), empty.filter(kept)
+    return docs.unionByName(empty).select("bundle_id", "value")
 
 
 def require_bundles(bundles: DataFrame) -> DataFrame:
@@ -67,45 +87,92 @@ def require_bundles(bundles: DataFrame) -> DataFrame:
     return bundles
 
 
+def _is_binary(bundles: DataFrame) -> bool:
+    return isinstance(bundles.schema["value"].dataType, T.BinaryType)
+
+
 def decode_bundles(bundles: DataFrame) -> DataFrame:
-    """Parse the envelope only; each resource stays JSON text."""
+    """Parse the envelope only; each resource stays JSON text.
+
+    Values given as bytes must be UTF-8: a document with another byte is bad, and its bytes stay in ``raw``. Values
+    given as text are taken as they are.
+    """
+    text, raw = F.col("value"), F.lit(None).cast("binary")
+    if _is_binary(bundles):
+        text = F.col("value").cast("string")
+        raw = F.when(~F.is_valid_utf8(text), F.col("value"))
+        text = F.when(F.is_valid_utf8(text), text).otherwise(F.make_valid_utf8(text))
+    bundles = bundles.select("bundle_id", text.alias("value"), raw.alias("raw"))
     # Wrapped in a document of our own, so that the decoder reads the text to its end: anything
     # after the bundle, also a second bundle, breaks the wrapper or hides its last field.
     wrapped = F.concat(F.lit('{"d":'), F.col("value"), F.lit('\n,"_end":1}'))
     decoded = bundles.select(
         "bundle_id",
         "value",
+        "raw",
         F.from_json(
             wrapped,
             f"d struct<{schemas.BUNDLE_FIELDS}>, _end int, _corrupt string",
             {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
         ).alias("doc"),
     )
-    whole = F.col("doc.d").isNotNull() & (F.col("doc._end") == 1) & F.col("doc._corrupt").isNull()
+    whole = F.col("doc.d").isNotNull() & (F.col("doc._end") == 1) & F.col("doc._corrupt").isNull() & F.col("raw").isNull()
     return decoded.select(
         "bundle_id",
         "value",
         F.col("doc.d.entry").alias("entry"),
         (~F.coalesce(whole, F.lit(False))).alias("bad"),
+        "raw",
     )
 
 
-def _reason():
-    """Class of the error: text after a readable document, or a document that is not readable as a bundle."""
+NOT_UTF8 = "not UTF-8"
+
+
+def _reason() -> Column:
+    """Class of the error: bytes, an empty file, text after a readable document, or a document that is not readable as a bundle."""
     # The first document in the text, and the text as a single one: different only if something follows.
     first = F.get_json_object("value", "$").isNotNull()
     whole = F.try_parse_json(F.concat(F.lit('{"d":'), F.col("value"), F.lit("}"))).isNotNull()
     return (
-        F.when(~F.ltrim("value").startswith("{"), "not a JSON object")
+        F.when(F.col("raw").isNotNull(), NOT_UTF8)
+        .when(F.col("value") == "", "empty file")
+        .when(~F.ltrim("value").startswith("{"), "not a JSON object")
         .when(first & ~whole, "text after the document")
         .otherwise("malformed document")
     )
 
 
+def failure_messages(quarantined: DataFrame) -> DataFrame:
+    """The quarantine with ``message``: what the standard JSON parser says about each document, and where.
+
+    A Python helper on the documents set aside alone. Documents that it can read get a NULL (they are JSON, but no bundle).
+    """
+
+    def explain(document: bytes) -> str | None:
+        try:
+            read = json.loads(document.decode("utf-8"))
+        except (ValueError, RecursionError) as error:
+            return f"{type(error).__name__}: {error}"
+        return None if isinstance(read, dict) else f"TypeError: a bundle must be an object, not {type(read).__name__}"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):  # a document at a time: their sizes are not bounded
+                row = batch.slice(n, 1)
+                message = explain(row.column("_bytes")[0].as_py() or b"")
+                kept = row.select([c for c in row.schema.names if c != "_bytes"])
+                yield kept.append_column("message", pa.array([message], pa.string()))
+
+    given = F.coalesce("raw", F.col("value").cast("binary"))
+    fields = T.StructType([*quarantined.schema.fields, T.StructField("message", T.StringType())])
+    return quarantined.withColumn("_bytes", given).mapInArrow(rows, fields)
+
+
 def quarantine(decoded: DataFrame) -> DataFrame:
-    """Unreadable documents with a reason and their whole text, for repair and replay."""
+    """Unreadable documents with a reason, their whole text and, where that is not UTF-8, their bytes, for repair and replay."""
     # Unnesting instead of filtering: a filter would be pushed below the decoding and repeat it.
-    row = F.struct("bundle_id", _reason().alias("reason"), "value")
+    row = F.struct("bundle_id", _reason().alias("reason"), "value", "raw")
     return decoded.select(F.inline(F.when(F.col("bad"), F.array(row))))
 
 
@@ -135,20 +202,22 @@ def explode_resources(decoded: DataFrame) -> DataFrame:
     return explode_entries(decoded).filter(F.col("resource").isNotNull())
 
 
-def resource_type_counts(entries: DataFrame, per_bundle: bool = False) -> DataFrame:
+def resource_type_counts(entries: DataFrame | Staged, per_bundle: bool = False) -> DataFrame:
     """Entries per resource type, a missing type counting as Unknown.
 
-    On `Staged.entries` this reads no document text, only the partitions' row counts.
+    On a `Staged` this reads no document text, only the partitions' row counts and the counts of the
+    types that were not kept.
     """
     keys = (["bundle_id"] if per_bundle else []) + ["resource_type"]
-    return (
-        entries.withColumn("resource_type", F.coalesce("resource_type", F.lit(UNKNOWN_TYPE)))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    if isinstance(entries, Staged):
+        rows, n = entries.counted, F.sum("n")
+    else:
+        rows, n = entries, F.count(F.lit(1))
+    named = rows.withColumn("resource_type", F.coalesce("resource_type", F.lit(UNKNOWN_TYPE)))
+    return named.groupBy(*keys).agg(n.alias("n"))
 
 
-def resource_type_totals(entries: DataFrame) -> DataFrame:
+def resource_type_totals(entries: DataFrame | Staged) -> DataFrame:
     """Entries in total and number of distinct resource types."""
     return resource_type_counts(entries).agg(
         F.sum("n").alias("entries"), F.count(F.lit(1)).alias("resource_types")
@@ -157,15 +226,28 @@ def resource_type_totals(entries: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Staged:
-    """Resources and bundle rows of one ingest, read back from the staging table."""
+    """Resources and bundle rows of one ingest, read back from the staging table.
+
+    ``metrics`` was observed while that table was written: documents (`bundles_ok`, `bundles_failed`) and entries
+    (`entries`, of which `entries_kept` and `entries_dropped`).
+    """
 
     table: DataFrame
+    metrics: dict[str, int] = field(default_factory=dict)
 
     @property
     def entries(self) -> DataFrame:
         """All kept entries, also those without a resource."""
-        return self.table.filter(
-            F.col("resource_type").isNull() | (F.col("resource_type") != BUNDLE_ROW)
+        kind = F.col("resource_type")
+        return self.table.filter(kind.isNull() | ~kind.isin(BUNDLE_ROW, DROPPED_ROW))
+
+    @property
+    def counted(self) -> DataFrame:
+        """``(bundle_id, resource_type, n)``: a row per kept entry, and one per bundle and type that was not kept."""
+        kept = self.entries.select("bundle_id", "resource_type", F.lit(1).cast("long").alias("n"))
+        dropped = self.table.filter(F.col("resource_type") == DROPPED_ROW)
+        return kept.unionByName(
+            dropped.select("bundle_id", F.col("full_url").alias("resource_type"), F.col("pos").cast("long").alias("n"))
         )
 
     @property
@@ -180,20 +262,44 @@ class Staged:
 
     @property
     def quarantine(self) -> DataFrame:
-        return self.table.filter((F.col("resource_type") == BUNDLE_ROW) & (F.col("pos") < 0)).select(
-            "bundle_id", F.col("full_url").alias("reason"), F.col("resource").alias("value")
+        failed = self.table.filter((F.col("resource_type") == BUNDLE_ROW) & (F.col("pos") < 0))
+        rows = failed.select("bundle_id", F.col("full_url").alias("reason"), "resource")
+        raw = F.when(F.col("reason") == NOT_UTF8, F.unbase64("resource"))
+        return rows.select(
+            "bundle_id",
+            "reason",
+            F.when(raw.isNull(), F.col("resource")).otherwise(F.make_valid_utf8(raw.cast("string"))).alias("value"),
+            raw.alias("raw"),
         )
 
 
+def _dropped_counts(entries: Column, types: Sequence[str]) -> Column:
+    """A row per type that is not kept: how many entries of it the document has (as ``pos``) and its name."""
+    others = F.transform(
+        F.filter(entries, lambda r: ~F.coalesce(r["resource_type"].isin(*types), F.lit(False))),
+        lambda r: F.coalesce(r["resource_type"], F.lit(UNKNOWN_TYPE)),
+    )
+    return F.transform(
+        F.array_distinct(others),
+        lambda t: F.struct(
+            F.size(F.filter(others, lambda o: o == t)).alias("pos"),
+            t.alias("full_url"),
+            F.lit(DROPPED_ROW).alias("resource_type"),
+            F.lit(None).cast("string").alias("resource"),
+        ),
+    )
+
+
 def stage_bundles(
     bundles: DataFrame, path: str | None = None, types: Sequence[str] | None = None
 ) -> Staged:
     """Read and unnest the documents once into a table partitioned by resource type.
 
     The five flatteners, the quarantine and the run counts then each read only their own
-    partition. Bundle rows carry ``pos`` -1 and the whole text for an unreadable document,
-    0 for a readable one. ``types`` names the resource types to keep; the flatteners use
-    six of the twenty or so in a bundle, so the rest need not be written for them.
+    partition. Bundle rows carry ``pos`` -1 and the whole text for an unreadable document (its bytes in base64 if it
+    is not UTF-8), 0 for a readable one. ``types`` names the resource types to keep; the flatteners use
+    six of the twenty or so in a bundle, so the rest need not be written for them. Of the others one count per
+    bundle and type is written. The run's totals are observed by the same write.
     """
     spark = bundles.sparkSession
     path = path or shared_dir(spark, "resources")
@@ -202,7 +308,7 @@ def stage_bundles(
         F.when(F.col("bad"), -1).otherwise(0).alias("pos"),
         F.when(F.col("bad"), _reason()).alias("full_url"),
         F.lit(BUNDLE_ROW).alias("resource_type"),
-        F.when(F.col("bad"), F.col("value")).alias("resource"),
+        F.when(F.col("bad"), F.coalesce(F.base64("raw"), "value")).alias("resource"),
     )
     resources = F.transform(
         F.when(~F.col("bad"), F.col("entry")),
@@ -213,15 +319,29 @@ def stage_bundles(
             e["resource"].alias("resource"),
         ),
     )
+    none = F.array().cast(_ROWS)
+    unnested = decoded.select("bundle_id", F.array(marker).alias("marker"), F.coalesce(resources, none).alias("all"))
+    every = [F.col("marker"), F.col("all")]
     if types is not None:
-        resources = F.filter(resources, lambda r: r["resource_type"].isin(*types))
-    rows = decoded.select(
-        "bundle_id",
-        F.inline(F.concat(F.array(marker), F.coalesce(resources, F.array().cast(_ROWS)))),
+        wanted = F.filter("all", lambda r: r["resource_type"].isin(*types))
+        every = [F.col("marker"), wanted, _dropped_counts(F.col("all"), types)]
+    rows = unnested.select("bundle_id", F.inline(F.concat(*every)))
+
+    kind, pos = F.col("resource_type"), F.col("pos")
+    dropped = F.coalesce(F.sum(F.when(kind == DROPPED_ROW, pos)), F.lit(0))
+    kept = F.count_if(kind.isNull() | ~kind.isin(BUNDLE_ROW, DROPPED_ROW))
+    seen = Observation()
+    rows = rows.observe(
+        seen,
+        F.count_if((kind == BUNDLE_ROW) & (pos >= 0)).alias("bundles_ok"),
+        F.count_if((kind == BUNDLE_ROW) & (pos < 0)).alias("bundles_failed"),
+        (kept + dropped).alias("entries"),
+        kept.alias("entries_kept"),
+        dropped.alias("entries_dropped"),
     )
     rows.write.mode("overwrite").partitionBy("resource_type").parquet(path)
     schema = "bundle_id string, pos int, full_url string, resource string, resource_type string"
-    return Staged(spark.read.schema(schema).parquet(path))
+    return Staged(spark.read.schema(schema).parquet(path), dict(seen.get))
 
 
 _ROWS = "array<struct<pos:int,full_url:string,resource_type:string,resource:string>>"
@@ -230,25 +350,14 @@ _ROWS = "array<struct<pos:int,full_url:string,resource_type:string,resource:stri
 def ingest_report(
     staged: Staged, records: dict[str, DataFrame], unreadable: DataFrame | None = None
 ) -> DataFrame:
-    """Readable and failed bundles, then rows per flat record set (best given as read back).
+    """Readable and failed bundles as observed, then rows per flat record set (best given as read back).
 
     ``unreadable`` (see `flatten.unreadable`) adds the number of resources with fields that were lost.
     """
     if unreadable is not None:
         records = records | {"resources_unreadable": unreadable}
-    bundle_counts = staged.bundles.agg(
-        F.count_if(~F.col("failed")).alias("bundles_ok"), F.count_if("failed").alias("bundles_failed")
-    )
-    report = bundle_counts.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("item"), F.col(c).alias("n"))
-                    for c in ("bundles_ok", "bundles_failed")
-                ]
-            )
-        )
-    )
+    spark = staged.table.sparkSession
+    report = spark.createDataFrame([(c, staged.metrics[c]) for c in ("bundles_ok", "bundles_failed")], "item string, n long")
     for name, df in records.items():
         report = report.unionByName(
             df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("item"), "n")

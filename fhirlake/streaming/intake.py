@@ -32,15 +32,12 @@ def start_intake(
     new name, since micro-batch numbers start again. ``max_files`` bounds one micro-batch.
     """
     bronze.create_bronze(spark, database)
-    reader = (
-        spark.readStream.format("text")
-        .option("wholetext", True)
-        .option("pathGlobFilter", bundles.FILE_PATTERN)
-    )
+    contents = "path string, modificationTime timestamp, length long, content binary"
+    reader = spark.readStream.format("binaryFile").schema(contents).option("pathGlobFilter", bundles.FILE_PATTERN)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     docs = reader.load(folder).filter(bundles.is_patient_file(F.col("_metadata.file_name")))
-    docs = docs.select(F.col("_metadata.file_path").alias("bundle_id"), "value")
+    docs = docs.select(F.col("_metadata.file_path").alias("bundle_id"), F.col("content").alias("value"))
 
     def load(batch: DataFrame, number: int) -> None:
         label = f"{run}-{number:09d}"

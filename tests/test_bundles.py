@@ -83,7 +83,8 @@ def folder(tmp_path_factory):
     (path / "bad_list.json").write_text("[1,2]")
     (path / "bad_tail.json").write_text('{"entry":[]} tail')
     (path / "bad_blank.json").write_text(" \n")
-    (path / "zero_bytes.json").write_text("")  # Spark lists no zero-length files
+    (path / "zero_bytes.json").write_text("")
+    (path / "hospitalInformation0.json").write_text("")
     (path / "empty.json").write_text("{}\n\n")
     (path / "hospitalInformation123.json").write_text("{}")
     (path / "practitionerInformation123.json").write_text("{}")
@@ -107,13 +108,13 @@ def names(df):
 
 def test_only_patient_files_are_read(spark, folder):
     assert names(bundles.read_bundles(spark, folder)) == sorted(
-        [*FILES, "bad_object.json", "bad_list.json", "bad_tail.json", "bad_blank.json", "empty.json"]
+        [*FILES, "bad_object.json", "bad_list.json", "bad_tail.json", "bad_blank.json", "zero_bytes.json", "empty.json"]
     )
 
 
 def test_limit_takes_the_first_names(spark, folder):
     assert names(bundles.read_bundles(spark, folder, limit=3)) == ["Ann_1.json", "Bob_2.json", "Cay_3.json"]
-    assert len(names(bundles.read_bundles(spark, folder, limit=100))) == 10
+    assert len(names(bundles.read_bundles(spark, folder, limit=100))) == 11
 
 
 def test_files_of_one_name_stay_apart(spark, tmp_path):
@@ -166,6 +167,7 @@ def test_bad_documents_are_set_aside(spark, folder, staged):
         "bad_list.json": ("not a JSON object", "[1,2]"),
         "bad_tail.json": ("text after the document", '{"entry":[]} tail'),
         "bad_blank.json": ("not a JSON object", " \n"),
+        "zero_bytes.json": ("empty file", ""),
     }
     for quarantined in (staged.quarantine, bundles.split_bad_bundles(bundles.read_bundles(spark, folder))[1]):
         assert {r.bundle_id.rsplit("/", 1)[-1]: (r.reason, r.value) for r in quarantined.collect()} == expected
@@ -176,7 +178,7 @@ def test_bad_documents_are_set_aside(spark, folder, staged):
 def test_report_counts(staged):
     report = {r["item"]: r.n for r in bundles.ingest_report(staged, flatten.flatten_all(staged.resources)).collect()}
     assert report == {
-        "bundles_ok": 6, "bundles_failed": 4, "patients": 2, "encounters": 1, "conditions": 1,
+        "bundles_ok": 6, "bundles_failed": 5, "patients": 2, "encounters": 1, "conditions": 1,
         "medication_requests": 7, "observations": 1 + 2 + 4 + 1 + 1 + 1 + 1 + 1,
     }
 
@@ -190,7 +192,40 @@ def test_staging_equals_direct_reading(spark, folder, staged):
 def test_staging_only_the_needed_types(spark, folder, staged):
     few = bundles.stage_bundles(bundles.read_bundles(spark, folder), types=flatten.SOURCE_TYPES)
     assert few.resources.count() == staged.resources.count() - 1  # the untyped one
-    assert few.bundles.count() == staged.bundles.count() == 10
+    assert few.bundles.count() == staged.bundles.count() == 11
+
+
+def test_dropped_types_are_counted(spark, folder, staged, rows):
+    few = bundles.stage_bundles(bundles.read_bundles(spark, folder), types=("Patient", "Observation"))
+    assert few.metrics == {"bundles_ok": 6, "bundles_failed": 5, "entries": 27, "entries_kept": 13, "entries_dropped": 14}
+    assert staged.metrics == {"bundles_ok": 6, "bundles_failed": 5, "entries": 27, "entries_kept": 27, "entries_dropped": 0}
+    for per_bundle in (False, True):
+        assert rows(bundles.resource_type_counts(few, per_bundle)) == rows(bundles.resource_type_counts(staged, per_bundle))
+    assert rows(bundles.resource_type_counts(few)) == rows(bundles.resource_type_counts(staged.entries))
+
+
+def test_staging_nothing(spark):
+    staged = bundles.stage_bundles(spark.createDataFrame([], "bundle_id string, value binary"), types=("Patient",))
+    assert set(staged.metrics.values()) <= {0}
+    assert staged.bundles.count() == 0 and bundles.resource_type_counts(staged).count() == 0
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    good, bad = b'{"entry":[{"resource":{"resourceType":"Patient","id":"p\xc3\xa91"}}]}', b'{"entry":[{"resource":{"id":"p\xff1"}}]}'
+    for name, content in {"good x+%41.json": good, "bad x+%41.json": bad, "zero +%.json": b""}.items():
+        (tmp_path / name).write_bytes(content)
+    found = bundles.read_bundles(spark, str(tmp_path))
+    staged = bundles.stage_bundles(found)
+    ((patient,),) = staged.resources.select(F.get_json_object("resource", "$.id")).collect()
+    assert patient == "pé1"
+    for quarantined in (staged.quarantine, bundles.split_bad_bundles(found)[1]):
+        got = {r.reason: (r.raw, r.value, r.message) for r in bundles.failure_messages(quarantined).collect()}
+        assert got == {
+            "not UTF-8": (bad, bad.decode(errors="replace"), "UnicodeDecodeError: 'utf-8' codec can't decode byte 0xff in position 30: invalid start byte"),
+            "empty file": (None, "", "JSONDecodeError: Expecting value: line 1 column 1 (char 0)"),
+        }
+    index = {r["name"]: r["length"] for r in bundles.file_index(spark, str(tmp_path)).collect()}
+    assert index == {"good x+%41.json": len(good), "bad x+%41.json": len(bad), "zero +%.json": 0}
 
 
 def test_patient(flat):
