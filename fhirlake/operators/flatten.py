@@ -1,7 +1,8 @@
 """Flatten typed resources into the five record sets.
 
-Input is ``(bundle_id, pos, resource_type, resource)``. All but the medication join are
-map-only; that join moves flat columns, never JSON text.
+Input is ``(bundle_id, pos, resource_type, resource)``. All are map-only if requests carry the medication
+they refer to (``linked``), as `bundles.explode_resources` and `bundles.stage_bundles` give them. Without that column
+requests and medications are joined; the join moves flat columns, never JSON text.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ RACE_SUFFIX = "us-core-race"
 ETHNICITY_SUFFIX = "us-core-ethnicity"
 
 
-def _typed(resources: DataFrame, resource_type: str) -> DataFrame:
+def _typed(resources: DataFrame, resource_type: str, *others: str) -> DataFrame:
     return resources.filter(F.col("resource_type") == resource_type).select(
-        "bundle_id", "pos", F.from_json("resource", schemas.RESOURCES[resource_type]).alias("r")
+        "bundle_id", "pos", *others, F.from_json("resource", schemas.RESOURCES[resource_type]).alias("r")
     )
 
 
@@ -119,15 +120,19 @@ def medication_lookup(resources: DataFrame) -> DataFrame:
 def flatten_medication_requests(resources: DataFrame) -> DataFrame:
     """Inline drug coding, else the medication the request refers to in its own bundle.
 
-    Requests that need no lookup must not share one join key (most rows may be such), so
-    their key is their own position; the needs-lookup flag keeps that key from matching.
+    Requests carry that medication in ``linked``. If there is no such column, the two are joined: requests that need
+    no lookup must not share one join key (most rows may be such), so their key is their own position; the
+    needs-lookup flag keeps that key from matching.
     """
     inline = _at("medicationCodeableConcept", "coding", 0)
     inline_code = inline["code"]
     refers = F.coalesce(_ref("medicationReference") != "", F.lit(False))
     needs = (inline_code.isNull() | (inline_code == "")) & refers
-    requests = _typed(resources, "MedicationRequest").select(
+    carried = "linked" in resources.columns
+    typed = _typed(resources, "MedicationRequest", *(["linked"] if carried else []))
+    requests = typed.select(
         "bundle_id",
+        *(["linked"] if carried else []),
         needs.alias("_needs"),
         F.when(needs, _ref("medicationReference")).otherwise(F.col("pos").cast("string")).alias("_key"),
         inline.alias("_inline"),
@@ -139,15 +144,21 @@ def flatten_medication_requests(resources: DataFrame) -> DataFrame:
         _at("authoredOn").alias("authored_on"),
         _at("dosageInstruction", 0, "text").alias("dosage_text"),
     )
-    lookup = medication_lookup(resources).select(
-        F.col("bundle_id").alias("_bundle"), "medication_id", "coding"
-    )
-    resolved = requests.join(
-        lookup,
-        F.col("_needs") & (F.col("bundle_id") == F.col("_bundle")) & (F.col("_key") == F.col("medication_id")),
-        "left",
-    )
-    hit = F.col("medication_id").isNotNull()
+    if carried:
+        medication = F.from_json(F.when(F.col("_needs"), F.col("linked")), schemas.RESOURCES["Medication"])
+        hit = F.col("_needs") & F.col("linked").isNotNull()
+        resolved = requests.withColumn("_medication", medication)
+        resolved = resolved.withColumn("coding", get_path(F.col("_medication"), "code", "coding", 0))
+    else:
+        lookup = medication_lookup(resources).select(
+            F.col("bundle_id").alias("_bundle"), "medication_id", "coding"
+        )
+        resolved = requests.join(
+            lookup,
+            F.col("_needs") & (F.col("bundle_id") == F.col("_bundle")) & (F.col("_key") == F.col("medication_id")),
+            "left",
+        )
+        hit = F.col("medication_id").isNotNull()
 
     def coded(field: str) -> Column:
         return F.when(hit, F.col("coding")[field]).otherwise(F.col("_inline")[field])

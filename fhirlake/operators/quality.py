@@ -150,7 +150,8 @@ class Check:
     """A scalar that has to lie within bounds.
 
     ``value`` is an aggregate column over ``table``, or a function from the tables to a
-    one-row, one-column DataFrame for figures that need a join or a grouping.
+    one-row DataFrame for figures that need a join or a grouping: its first column, or ``column``. Checks
+    with the same function share one run of it.
     """
 
     name: str
@@ -161,6 +162,7 @@ class Check:
     low_open: bool = False
     high_open: bool = False
     notes: str = ""
+    column: str | None = None
 
     @property
     def expected(self) -> str:
@@ -200,18 +202,18 @@ def _batch_report(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return figures.select(F.inline(F.array(*rows)))
 
 
-def _single_report(tables: Mapping[str, DataFrame], check: Check) -> DataFrame:
-    figure = check.value(tables)
-    return figure.select(F.inline(F.array(_report_row(check, F.col(figure.columns[0])))))
+def _shared_report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
+    figure = checks[0].value(tables)
+    return figure.select(F.inline(F.array(*[_report_row(c, F.col(c.column or figure.columns[0])) for c in checks])))
 
 
 def _batches(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Iterable[tuple[list[Check], Callable[[], DataFrame]]]:
     for table in dict.fromkeys(c.table for c in checks if c.table is not None):
         batch = [c for c in checks if c.table == table]
         yield batch, lambda table=table, batch=batch: _batch_report(tables[table], batch)
-    for check in checks:
-        if check.table is None:
-            yield [check], lambda check=check: _single_report(tables, check)
+    for value in dict.fromkeys(c.value for c in checks if c.table is None):
+        batch = [c for c in checks if c.table is None and c.value is value]
+        yield batch, lambda batch=batch: _shared_report(tables, batch)
 
 
 def suite_report(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
@@ -244,7 +246,8 @@ def run_suite(spark: SparkSession, tables: Mapping[str, DataFrame], checks: Sequ
                 continue
             for check in batch:
                 try:
-                    rows.extend(tuple(r) for r in _batch_report(tables[check.table], [check]).collect())
+                    alone = _batch_report(tables[check.table], [check]) if check.table else _shared_report(tables, [check])
+                    rows.extend(tuple(r) for r in alone.collect())
                 except (PySparkException, KeyError) as single_error:
                     broken(check, single_error)
     order = {c.name: i for i, c in enumerate(checks)}

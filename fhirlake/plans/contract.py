@@ -81,13 +81,12 @@ def _share(condition):
     return F.try_divide(F.count_if(condition).cast("double"), F.count(F.lit(1)))
 
 
-def _cohort_size(flag: str):
-    def size(tables: Mapping[str, DataFrame]) -> DataFrame:
-        return cohorts.cohort_sizes(
-            tables["silver_conditions"], {"patients": F.col("condition_flag") == flag}
-        )
+_COHORTS = ("diabetes_t2", "hypertension", "heart_failure")
 
-    return size
+
+def _cohort_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """A column per cohort, from one pass over the conditions."""
+    return cohorts.cohort_sizes(tables["silver_conditions"], {c: F.col("condition_flag") == c for c in _COHORTS})
 
 
 def _treatment_rate(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -125,9 +124,9 @@ def distribution_checks(bounds: Bounds | None = None) -> list[Check]:
             0,
             0,
         ),
-        Check("T2DM patients", _cohort_size("diabetes_t2"), None, *b.diabetes_patients),
-        Check("hypertension patients", _cohort_size("hypertension"), None, *b.hypertension_patients),
-        Check("heart failure patients", _cohort_size("heart_failure"), None, *b.heart_failure_patients),
+        Check("T2DM patients", _cohort_sizes, None, *b.diabetes_patients, column="diabetes_t2"),
+        Check("hypertension patients", _cohort_sizes, None, *b.hypertension_patients, column="hypertension"),
+        Check("heart failure patients", _cohort_sizes, None, *b.heart_failure_patients, column="heart_failure"),
         Check(
             "implausible HbA1c share",
             F.try_divide(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fhirlake import schemas
+from fhirlake.functions.paths import normalize_ref
 from fhirlake.sources.shared import shared_dir
 
 # Files of the export folder that are not patient bundles.
@@ -24,6 +25,8 @@ FILE_PATTERN = "*.json"
 SKIPPED_PREFIXES = ("hospitalInformation", "practitionerInformation")
 UNKNOWN_TYPE = "Unknown"
 
+_ENTRY = "pos:int,full_url:string,resource_type:string,resource:string"
+
 # Partition of a staged ingest that holds one row per bundle instead of resources.
 BUNDLE_ROW = "_bundle"
 # Partition of a staged ingest that holds one row per bundle and resource type that was not kept.
@@ -184,18 +187,45 @@ def split_bad_bundles(bundles: DataFrame) -> tuple[DataFrame, DataFrame]:
     return readable, quarantine(decoded)
 
 
-def explode_entries(decoded: DataFrame) -> DataFrame:
-    """Every entry of every readable bundle, also those without a resource."""
-    entries = decoded.select(
-        "bundle_id", F.posexplode(F.when(~F.col("bad"), F.col("entry"))).alias("pos", "e")
+def _unnested(decoded: DataFrame, *others: Column) -> DataFrame:
+    """``(bundle_id, *others, all)``: the entries of each bundle as one array, no row of it moved.
+
+    A medication request that refers to a medication of its own bundle carries that resource as ``linked``; of several with
+    one id the last wins. Both lie in the same document, so the reference is followed inside its row.
+    """
+    entries = F.transform(
+        F.when(~F.col("bad"), F.col("entry")),
+        lambda e, i: F.struct(
+            i.alias("pos"),
+            e["fullUrl"].alias("full_url"),
+            F.get_json_object(e["resource"], "$.resourceType").alias("resource_type"),
+            e["resource"].alias("resource"),
+        ),
     )
-    return entries.select(
-        "bundle_id",
-        "pos",
-        F.col("e.fullUrl").alias("full_url"),
-        F.get_json_object("e.resource", "$.resourceType").alias("resource_type"),
-        F.col("e.resource").alias("resource"),
+    none = F.array().cast(f"array<struct<{_ENTRY}>>")
+    rows = decoded.select("bundle_id", *others, F.coalesce(entries, none).alias("entries"))
+    medications = F.transform(
+        F.filter("entries", lambda r: r["resource_type"] == "Medication"),
+        lambda r: F.struct(F.get_json_object(r["resource"], "$.id").alias("id"), r["resource"].alias("resource")),
+    )
+    named = F.filter(medications, lambda m: m["id"] != "")
+    rows = rows.select("*", named.alias("medications"))
+
+    def linked(r: Column) -> Column:
+        wanted = normalize_ref(F.get_json_object(r["resource"], "$.medicationReference.reference"))
+        same = F.filter("medications", lambda m: m["id"] == wanted)
+        return F.try_element_at(same, F.lit(-1))["resource"]
+
+    some = F.size("medications") > 0
+    with_links = F.transform(
+        "entries", lambda r: r.withField("linked", F.when(some & (r["resource_type"] == "MedicationRequest"), linked(r)))
     )
+    return rows.withColumn("all", with_links).drop("entries", "medications")
+
+
+def explode_entries(decoded: DataFrame) -> DataFrame:
+    """Every entry of every readable bundle, also those without a resource."""
+    return _unnested(decoded).select("bundle_id", F.inline("all"))
 
 
 def explode_resources(decoded: DataFrame) -> DataFrame:
@@ -286,6 +316,7 @@ def _dropped_counts(entries: Column, types: Sequence[str]) -> Column:
             t.alias("full_url"),
             F.lit(DROPPED_ROW).alias("resource_type"),
             F.lit(None).cast("string").alias("resource"),
+            F.lit(None).cast("string").alias("linked"),
         ),
     )
 
@@ -309,18 +340,9 @@ def stage_bundles(
         F.when(F.col("bad"), _reason()).alias("full_url"),
         F.lit(BUNDLE_ROW).alias("resource_type"),
         F.when(F.col("bad"), F.coalesce(F.base64("raw"), "value")).alias("resource"),
+        F.lit(None).cast("string").alias("linked"),
     )
-    resources = F.transform(
-        F.when(~F.col("bad"), F.col("entry")),
-        lambda e, i: F.struct(
-            i.alias("pos"),
-            e["fullUrl"].alias("full_url"),
-            F.get_json_object(e["resource"], "$.resourceType").alias("resource_type"),
-            e["resource"].alias("resource"),
-        ),
-    )
-    none = F.array().cast(_ROWS)
-    unnested = decoded.select("bundle_id", F.array(marker).alias("marker"), F.coalesce(resources, none).alias("all"))
+    unnested = _unnested(decoded, F.array(marker).alias("marker"))
     every = [F.col("marker"), F.col("all")]
     if types is not None:
         wanted = F.filter("all", lambda r: r["resource_type"].isin(*types))
@@ -340,13 +362,10 @@ def stage_bundles(
         dropped.alias("entries_dropped"),
     )
     rows.write.mode("overwrite").partitionBy("resource_type").parquet(path)
-    schema = "bundle_id string, pos int, full_url string, resource string, resource_type string"
+    schema = "bundle_id string, pos int, full_url string, resource string, linked string, resource_type string"
     return Staged(spark.read.schema(schema).parquet(path), dict(seen.get))
 
 
-_ROWS = "array<struct<pos:int,full_url:string,resource_type:string,resource:string>>"
-
-
 def ingest_report(
     staged: Staged, records: dict[str, DataFrame], unreadable: DataFrame | None = None
 ) -> DataFrame:

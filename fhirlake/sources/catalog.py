@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ def materialize(
     buckets: int | None = None,
     sort_by: str | None = None,
 ) -> DataFrame:
-    """Rebuild ``layer.name`` as a physical table; the layer name is used verbatim.
+    """Rebuild ``layer.name`` as a physical table behind a view; the layer name is used verbatim.
 
     ``cluster_by`` and ``buckets`` bucket the table by a join key: joins between tables
     bucketed alike need no shuffle. Rows are brought together per bucket before the write,
@@ -27,25 +27,54 @@ def materialize(
     a bucket that a hot key has made large over several tasks and files. ``sort_by`` sorts
     each file, so that filters on the column skip row groups.
 
-    The new table is written under another name and takes the old one's place when it is
-    complete: a rebuild that fails leaves the old table as it is.
+    ``layer.name`` is a view of the newest version, a table of its own in `versions_of(layer)`. The new version is
+    written and complete before one catalog call replaces the view, so a reader sees the old rows or the new ones, never none. A rebuild that fails
+    leaves everything as it is. The version that the view showed before is kept for queries that already read it;
+    older ones are dropped. There is to be one writer per name at a time. Returns the version that was written.
     """
     spark = df.sparkSession
-    create_layers(spark, (layer,))
+    create_layers(spark, (layer, versions_of(layer)))
     if cluster_by and buckets:
         together = df.withColumn("_bucket", F.pmod(F.hash(cluster_by), F.lit(buckets)))
         df = together.hint("rebalance", F.col("_bucket")).drop("_bucket")
     rows = df.sortWithinPartitions(sort_by) if sort_by else df
     writer = rows.write.bucketBy(buckets, cluster_by) if cluster_by and buckets else rows.write
-    fresh = f"{layer}.{name}__{uuid.uuid4().hex}"
+    before = versions(spark, layer, name)
+    number = int(before[-1].rsplit("__", 1)[1]) + 1 if before else 1
+    fresh = f"{name}__{number:09d}"
     try:
-        writer.format("parquet").saveAsTable(fresh)
+        writer.format("parquet").saveAsTable(f"{versions_of(layer)}.{fresh}")
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+        spark.sql(f"DROP TABLE IF EXISTS {versions_of(layer)}.{fresh}")
         raise
-    spark.sql(f"DROP TABLE IF EXISTS {layer}.{name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {layer}.{name}")
-    return spark.table(f"{layer}.{name}")
+    publish(spark, layer, name, fresh)
+    for old in before[:-1]:
+        spark.sql(f"DROP TABLE IF EXISTS {versions_of(layer)}.{old}")
+    return spark.table(f"{versions_of(layer)}.{fresh}")
+
+
+def versions_of(layer: str) -> str:
+    """The database that holds the versions of a layer's tables."""
+    return f"{layer}_versions"
+
+
+def versions(spark: SparkSession, layer: str, name: str) -> list[str]:
+    """The versions of a table, oldest first."""
+    if not spark.catalog.databaseExists(versions_of(layer)):
+        return []
+    found = (t.name for t in spark.catalog.listTables(versions_of(layer)))
+    return sorted(t for t in found if re.fullmatch(re.escape(name.lower()) + r"__\d{9}", t))
+
+
+def publish(spark: SparkSession, layer: str, name: str, version: str) -> None:
+    """Shows a version as ``layer.name``, in one catalog call; also an older one that is still there.
+
+    A plain table of that name, as earlier releases left it, is first renamed to a version; only then, once, the name is missing for a moment.
+    """
+    target = f"{layer}.{name}"
+    if spark.catalog.tableExists(target) and spark.catalog.getTable(target).tableType != "VIEW":
+        spark.sql(f"ALTER TABLE {target} RENAME TO {layer}.{name}__000000000")
+    spark.sql(f"CREATE OR REPLACE VIEW {target} AS SELECT * FROM {versions_of(layer)}.{version}")
 
 
 def catalog_report(spark: SparkSession, layers: Iterable[str] = LAYERS, count_rows: bool = True) -> DataFrame:

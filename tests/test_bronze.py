@@ -103,6 +103,41 @@ def test_a_rebuild_that_fails_keeps_the_old_table(spark, database):
     assert [t.name for t in spark.catalog.listTables(database) if t.name.startswith("model")] == ["model"]
 
 
+def test_a_reader_between_two_versions_sees_a_whole_table(spark, database, monkeypatch):
+    catalog.materialize(spark.range(3).toDF("n"), database, "shown", "n", 2)
+    seen, running = [], spark.table(f"{database}.shown")
+    replace = catalog.publish
+
+    def watched(spark, layer, name, version):
+        seen.append(spark.table(f"{layer}.{name}").count())
+        replace(spark, layer, name, version)
+        seen.append(spark.table(f"{layer}.{name}").count())
+
+    monkeypatch.setattr(catalog, "publish", watched)
+    for rows in (5, 7, 9):
+        catalog.materialize(spark.range(rows).toDF("n"), database, "shown", "n", 2)
+    assert seen == [3, 5, 5, 7, 7, 9]
+    kept = catalog.versions(spark, database, "shown")
+    assert kept == ["shown__000000003", "shown__000000004"]
+    assert [spark.table(f"{catalog.versions_of(database)}.{v}").count() for v in kept] == [7, 9]
+    replace(spark, database, "shown", kept[0])
+    assert spark.table(f"{database}.shown").count() == 7
+    del running
+
+
+def test_publication_is_one_catalog_call(spark, database, monkeypatch):
+    catalog.materialize(spark.range(3).toDF("n"), database, "once")
+    calls, run = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **k: (calls.append(text), run(self, text, *a, **k))[1])
+    catalog.publish(spark, database, "once", catalog.versions(spark, database, "once")[-1])
+    assert [c.split()[:4] for c in calls] == [["CREATE", "OR", "REPLACE", "VIEW"]]
+
+
+def test_a_plain_table_becomes_a_view(spark, database):
+    spark.range(2).toDF("n").write.saveAsTable(f"{database}.plain")
+    assert catalog.materialize(spark.range(4).toDF("n"), database, "plain").count() == 4
+
+
 def test_batch_id_format():
     assert bronze.new_batch_id(AT) == "2024-03-01_12-00-00"
 

@@ -327,17 +327,32 @@ def test_parsed_round_trip(spark, staged, tmp_path, rows):
         assert rows(back) == rows(df)
 
 
-def test_flatteners_have_no_python_and_only_the_lookup_shuffles(staged):
+def test_flatteners_have_no_python_and_no_shuffle(staged):
     for name, df in flatten.flatten_all(staged.resources).items():
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan
-        assert ("Exchange" in plan) == (name == "medication_requests")
+        assert "Exchange" not in plan
         assert "resource_type#" in plan[plan.index("PartitionFilters"):]
+    joined = flatten.flatten_medication_requests(staged.resources.drop("linked"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in joined and "Exchange" in joined
+
+
+def test_references_are_followed_inside_the_row(spark, folder):
+    resources = bundles.explode_resources(bundles.decode_bundles(bundles.read_bundles(spark, folder)))
+    carried = flatten.flatten_medication_requests(resources)
+    documents = bundles.decode_bundles(spark.read.text(folder, wholetext=True).select(F.lit("x").alias("bundle_id"), "value"))
+    plan = flatten.flatten_medication_requests(bundles.explode_resources(documents))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    joined = flatten.flatten_medication_requests(resources.drop("linked"))
+    assert sorted(map(str, carried.collect())) == sorted(map(str, joined.collect()))
+    few = bundles.stage_bundles(bundles.read_bundles(spark, folder), types=("MedicationRequest",))
+    alone = flatten.flatten_medication_requests(few.resources)  # the medications themselves are not staged
+    assert sorted(map(str, alone.collect())) == sorted(map(str, joined.collect()))
 
 
 def test_requests_without_lookup_do_not_share_a_key(staged):
     """The join key of requests needing no lookup spreads by position."""
-    plan = flatten.flatten_medication_requests(staged.resources)._jdf.queryExecution().optimizedPlan().toString()
+    plan = flatten.flatten_medication_requests(staged.resources.drop("linked"))._jdf.queryExecution().optimizedPlan().toString()
     assert "cast(pos" in plan
 
 

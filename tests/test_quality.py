@@ -50,6 +50,19 @@ def test_single_expectations(tables):
     assert quality.expect_count(child, 7).first().passed is False
 
 
+def test_figures_of_one_function_are_computed_once(spark):
+    conditions = spark.createDataFrame(
+        [("a", "diabetes_t2"), ("a", "diabetes_t2"), ("b", "diabetes_t2"), ("b", "hypertension"), ("c", None)],
+        "patient_id string, condition_flag string",
+    )
+    wanted = [c for c in contract.distribution_checks() if c.value is contract._cohort_sizes]
+    report = quality.suite_report({"silver_conditions": conditions}, wanted)
+    assert {r.check_name: r.value for r in report.collect()} == {"T2DM patients": 2, "hypertension patients": 1, "heart failure patients": 0}
+    assert report._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + report._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+    run = {r.check_name: (r.value, r.error) for r in quality.run_suite(spark, {"silver_conditions": conditions}, wanted).collect()}
+    assert run["hypertension patients"] == (1, None)
+
+
 def test_orphan_rows_are_counted_per_key_before_the_join(tables):
     plan = quality.orphan_keys(tables["child"], tables["parent"], "patient_id")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftAnti") < plan.index("Aggregate [patient_id")
