@@ -7,7 +7,9 @@ what is read back.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,8 +19,8 @@ from bindings.documents import FILLED, READABLE
 from bindings.registry import Data, register
 from fhirlake import schemas
 from fhirlake.functions import paths
-from fhirlake.operators import flatten, inspect, profile
-from fhirlake.sources import bronze, bundles, catalog, parsed, shared
+from fhirlake.operators import dedupe, flatten, inspect, profile
+from fhirlake.sources import bronze, bundles, catalog, latest, parsed, shared
 
 RECORDS = tuple(schemas.RECORDS)
 LOADED_AT = dt.datetime(2024, 3, 1, 12, 0, 0)
@@ -377,6 +379,83 @@ register(
 )
 
 
+# --- content of batches, typing with rejects, latest rows kept up to date ---
+
+
+def _swapped(rows: DataFrame, key: str, lost: str, doubled: str) -> DataFrame:
+    """One key's rows lost, another's doubled: as many rows as before, if each has as many."""
+    return rows.filter(F.col(key) != lost).unionByName(rows.filter(F.col(key) == doubled))
+
+
+def _content_report(d: Data) -> DataFrame:
+    """Two batches of single patients: one complete, one with a row lost and another doubled; and their report by counts."""
+    rows = dedupe.latest_by(d.bronze("patients"), "patient_id").drop(*schemas.AUDIT.names)
+    whole = bronze.stamp_audit(rows, "whole", LOADED_AT)
+    swapped = bronze.stamp_audit(_swapped(rows, "patient_id", "p1", "p2"), "swapped", LOADED_AT)
+    parts = [
+        check(rows, table, batch).select(F.lit(batch).alias("batch"), F.lit(kind).alias("kind"), "*")
+        for kind, check in (("content", bronze.batch_content), ("counts", bronze.batch_counts))
+        for batch, table in (("whole", whole), ("swapped", swapped))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+register(
+    "S14_content",
+    _content_report,
+    "SELECT batch, kind, n AS source_rows, n AS loaded_rows, CASE WHEN kind = 'content' AND batch = 'swapped' THEN 'MISMATCH' ELSE 'OK' END AS status "
+    "FROM (SELECT count(DISTINCT patient_id) AS n FROM bronze_patients), (VALUES ('whole'), ('swapped')) b(batch), (VALUES ('content'), ('counts')) k(kind)",
+)
+
+
+def _dated(d: Data) -> DataFrame:
+    """Parsed encounters, every seventh with a start that is no date."""
+    resources = bundles.explode_resources(bundles.decode_bundles(d.bundles("orders")))
+    rows = flatten.flatten_encounters(resources)
+    seventh = F.substr("encounter_id", F.lit(2)).cast("long") % 7 == 0
+    return rows.withColumn("start_time", F.when(seventh, F.concat(F.lit("on "), "start_time")).otherwise(F.col("start_time")))
+
+
+_SEVENTH = "cast(substr(encounter_id, 2) AS bigint) % 7 = 0"
+_WALL = "cast(substr({0}, 1, 19) AS timestamp)"
+register(
+    "S13_type_once",
+    lambda d: parsed.type_once(_dated(d), schemas.RECORDS["encounters"]).rows,
+    f"SELECT * REPLACE (CASE WHEN NOT ({_SEVENTH}) THEN {_WALL.format('start_time')} END AS start_time, "
+    f"{_WALL.format('end_time')} AS end_time) FROM doc_encounters",
+)
+register(
+    "S13_rejected",
+    lambda d: parsed.type_once(_dated(d), schemas.RECORDS["encounters"]).rejected.select(
+        "encounter_id", "start_time", F.array_join("rejected_columns", ",").alias("lost")
+    ),
+    f"SELECT encounter_id, 'on ' || start_time AS start_time, 'start_time' AS lost FROM doc_encounters WHERE {_SEVENTH}",
+)
+
+
+def _merged(d: Data) -> DataFrame:
+    """Line items arriving in three batches by ship date's month, one of them twice."""
+    if not d.spark.catalog.databaseExists(CHECK_DB):
+        bronze.create_layers(d.spark, (CHECK_DB,), shared.shared_dir(d.spark, "tables"))
+    rows = d.table("lineitem")
+    table = f"{CHECK_DB}.latest_{uuid.uuid4().hex}"
+    latest.create_latest(d.spark, table, rows, ["l_orderkey", "l_linenumber"], 16)
+    tiebreak = ["l_partkey", "l_suppkey", "l_extendedprice"]
+    for third in (2, 0, 1, 0):
+        latest.merge_latest(table, rows.filter(F.month("l_shipdate") % 3 == third), "l_shipdate", tiebreak)
+    found = shared.through_table(latest.latest(d.spark, table), "latest")
+    d.spark.sql(f"DROP TABLE {table}")
+    return found
+
+
+register(
+    "W01_merge_latest",
+    _merged,
+    "SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber "
+    "ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1",
+)
+
+
 def _created_twice(d: Data) -> DataFrame:
     loaded = _load(d, "encounters", ["replace"])
     bronze.create_bronze(d.spark, CHECK_DB)

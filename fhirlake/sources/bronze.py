@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Sequence
 from functools import partial, reduce
 from urllib.parse import unquote
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fhirlake import schemas
-from fhirlake.sources.parsed import cast_to, check_inputs, read_parsed, record_path, rejected_rows
+from fhirlake.sources.parsed import Typed, cast_to, check_inputs, read_parsed, record_path, type_once
 from fhirlake.sources.shared import run_together
 
 BRONZE = "bronze"
@@ -78,7 +79,7 @@ def drop_other_batches(spark: SparkSession, table: str, batch_id: str) -> None:
 
 
 def load_bronze(
-    df: DataFrame,
+    df: DataFrame | Typed,
     record: str,
     mode: str = "replace",
     batch_id: str | None = None,
@@ -92,16 +93,20 @@ def load_bronze(
     ``append`` keeps all history. ``rerun`` writes this batch afresh and keeps the others,
     so that a repeated load does not double its rows. ``replace`` leaves only this batch;
     older ones go after the new rows are in and counted, so a load that fails loses nothing.
+
+    ``df`` holds parsed rows, or rows that are typed already (see `parsed.type_once`).
     """
     if mode not in ("replace", "append", "rerun"):
         raise ValueError(f"unknown mode {mode!r}")
     batch_id = batch_id or new_batch_id()
     table = bronze_name(record, database)
-    rows = stamp_audit(cast_to(df, schemas.RECORDS[record], strict, tz), batch_id, ts)
-    _insert(rows, table, batch_id, overwrite=mode != "append")
+    typed = df.rows if isinstance(df, Typed) else cast_to(df, schemas.RECORDS[record], strict, tz)
+    source_rows = df.rows if isinstance(df, Typed) else df
+    spark = typed.sparkSession
+    _insert(stamp_audit(typed, batch_id, ts), table, batch_id, overwrite=mode != "append")
     if mode == "replace":
-        reconcile(df, df.sparkSession.table(table), batch_id)
-        drop_other_batches(df.sparkSession, table, batch_id)
+        reconcile(source_rows, spark.table(table), batch_id)
+        drop_other_batches(spark, table, batch_id)
     return batch_id
 
 
@@ -119,14 +124,39 @@ def batch_counts(source: DataFrame, table: DataFrame, batch_id: str) -> DataFram
     return counts.withColumn("status", F.when(same, "OK").otherwise("MISMATCH"))
 
 
+def content(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(rows, digest) of a table's rows, whatever their order.
+
+    The digest is two sums of 64-bit hashes per row, so that a row counts as often as it occurs. Nulls are told apart by
+    place, which the hash function alone does not do.
+    """
+    fields = [F.col(c) for c in columns] + [F.col(c).isNull() for c in columns]
+    sums = [F.coalesce(F.sum(F.xxhash64(F.lit(seed), *fields).cast("decimal(38,0)")), F.lit(0)) for seed in (1, 2)]
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.concat_ws(":", *(s.cast("string") for s in sums)).alias("digest"))
+
+
+def batch_content(source: DataFrame, table: DataFrame, batch_id: str) -> DataFrame:
+    """(source_rows, loaded_rows, status) of one batch, by rows and content; ``source`` is typed, without audit columns.
+
+    Other than by `batch_counts`, a lost row that a doubled one makes up for is a MISMATCH.
+    """
+    columns = [c for c in table.columns if c not in schemas.AUDIT.names]
+    loaded = table.filter(F.col("load_batch_id") == batch_id)
+    both = content(source, columns).select(F.col("rows").alias("source_rows"), F.col("digest").alias("given")).join(
+        content(loaded, columns).select(F.col("rows").alias("loaded_rows"), F.col("digest").alias("found"))
+    )
+    same = (F.col("source_rows") == F.col("loaded_rows")) & (F.col("given") == F.col("found"))
+    return both.select("source_rows", "loaded_rows", F.when(same, "OK").otherwise("MISMATCH").alias("status"))
+
+
 def load_report(pairs: dict[str, tuple[DataFrame, DataFrame]], batch_id: str) -> DataFrame:
     """(table_name, source_rows, loaded_rows, status) of one batch, a row for each (source, table)."""
     parts = [batch_counts(*pair, batch_id).select(F.lit(name).alias("table_name"), "*") for name, pair in pairs.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
-def reconcile(source: DataFrame, table: DataFrame, batch_id: str) -> tuple[int, int]:
-    row = batch_counts(source, table, batch_id).first()
+def reconcile(source: DataFrame, table: DataFrame, batch_id: str, by_content: bool = False) -> tuple[int, int]:
+    row = (batch_content if by_content else batch_counts)(source, table, batch_id).first()
     if row.status != "OK":
         raise LoadMismatch(f"batch {batch_id}: source {row.source_rows}, loaded {row.loaded_rows}")
     return row.source_rows, row.loaded_rows
@@ -141,11 +171,13 @@ def load_all(
     strict: bool = True,
     tz: str | None = None,
     database: str = BRONZE,
+    by_content: bool = False,
 ) -> str:
     """Load all five parsed record sets as one batch and reconcile each; see `load_report` for the counts.
 
     With ``strict=False`` rows that hold an unloadable value are also kept as they came, with the names
-    of the columns, in ``rejected/<record>.parquet`` of the folder.
+    of the columns, in ``rejected/<record>.parquet`` of the folder; the input is then read and converted once for both.
+    ``by_content`` reconciles the rows themselves instead of their number.
     """
     check_inputs(spark, folder)
     create_bronze(spark, database)
@@ -153,11 +185,15 @@ def load_all(
 
     def load(record: str) -> None:
         parsed = read_parsed(spark, folder, record)
+        given, rows = parsed, parsed
         if not strict:
-            lost = rejected_rows(parsed, schemas.RECORDS[record])
-            lost.write.mode("overwrite").parquet(record_path(f"{folder.rstrip('/')}/rejected", record))
-        load_bronze(parsed, record, mode, batch_id, ts, strict, tz, database)
-        reconcile(parsed, source(spark, record, database), batch_id)
+            given = type_once(parsed, schemas.RECORDS[record], tz)
+            rows = given.rows
+            given.rejected.write.mode("overwrite").parquet(record_path(f"{folder.rstrip('/')}/rejected", record))
+        load_bronze(given, record, mode, batch_id, ts, strict, tz, database)
+        if by_content and strict:
+            rows = cast_to(parsed, schemas.RECORDS[record], strict, tz)
+        reconcile(rows, source(spark, record, database), batch_id, by_content)
 
     run_together([partial(load, record) for record in schemas.RECORDS])
     return batch_id

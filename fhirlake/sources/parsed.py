@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import dataclass
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from fhirlake import schemas
 from fhirlake.functions.dates import has_full_date
-from fhirlake.sources.shared import path_exists, run_together
+from fhirlake.sources.shared import path_exists, run_together, through_table
 
 
 def record_path(folder: str, record: str) -> str:
@@ -84,3 +85,42 @@ def rejected_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumn("rejected_columns", F.array_compact(F.array(*lost))).filter(
         F.size("rejected_columns") > 0
     )
+
+
+REJECTED = "rejected"
+
+
+@dataclass(frozen=True)
+class Typed:
+    """The typed rows of one record set and those that lost a value, read back from one table."""
+
+    table: DataFrame
+    columns: list[str]
+
+    @property
+    def rows(self) -> DataFrame:
+        """All rows, typed; values that do not convert are NULL."""
+        return self.table.select("typed.*")
+
+    @property
+    def rejected(self) -> DataFrame:
+        """The rows with such a value as they came, and the names of those columns; reads their partition alone."""
+        lost = self.table.filter(F.col(REJECTED))
+        return lost.select("given.*", "rejected_columns").select(*self.columns, "rejected_columns")
+
+
+def type_once(df: DataFrame, schema: T.StructType, tz: str | None = None) -> Typed:
+    """`cast_to` without ``strict`` and `rejected_rows` from one scan and one conversion of each value.
+
+    A row's typed form is written once, to the partition of the rows that lost a value or to that of all others; only
+    the former also keep the form in which they came.
+    """
+    converted = df.select(
+        F.struct("*").alias("given"), F.struct(*[_typed(df, f, False, tz).alias(f.name) for f in schema.fields]).alias("typed")
+    )
+    lost = F.array_compact(
+        F.array(*[F.when(F.col("given")[f.name].isNotNull() & F.col("typed")[f.name].isNull(), F.lit(f.name)) for f in schema.fields])
+    )
+    marked = converted.withColumn("rejected_columns", lost).withColumn(REJECTED, F.size("rejected_columns") > 0)
+    kept = marked.select("typed", F.when(F.col(REJECTED), F.col("given")).alias("given"), "rejected_columns", REJECTED)
+    return Typed(through_table(kept, "typed", REJECTED), df.columns)
