@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +13,15 @@ from fhirlake.llm.sampling import drawn
 from fhirlake.sources.shared import through_table
 
 #: Bounded sample from which pivots are drawn; every row is indexed.
-PIVOTS = 128
+PIVOTS = 2_048
+#: A vector is posted under so many of its nearest pivots, and a query opens as many lists.
+NEAREST = 96
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
-#: Share of a block's distinct vectors that is reranked, and the least number of them.
-RERANK_SHARE, RERANK_LEAST = 0.1, 1_024
+#: Share of a block's distinct vectors that is reranked, and the least number of them for each wanted neighbour.
+RERANK_SHARE, RERANK_EACH = 0.12, 16
+#: Distances to the pivots are computed for so many vectors at a time.
+ROWS_AT_A_TIME = 512
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -30,22 +34,16 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter("norm > 0").distinct()
 
 
-def choose_pivots(rows: DataFrame, count: int, longest: float, total: int) -> list[np.ndarray]:
-    """Two sets of `count` distinct lifted vectors, from a sample of eight times as many rows drawn by hash.
+def choose_pivots(rows: DataFrame, count: int, longest: float, total: int) -> np.ndarray:
+    """`count` distinct lifted vectors, from a sample of twice as many rows drawn by hash.
 
-    Those of the first are each farthest from the ones before, so that a large cluster does not take most of them;
-    those of the second follow the rows, and tell the members of a large cluster apart.
+    They follow the rows: where many lie close together there are many pivots, which tell them apart. Vectors elsewhere
+    are not posted under those.
     """
-    sample = drawn(rows.select("id", "v"), 8 * count, total, "id", "v").collect()
+    sample = drawn(rows.select("id", "v"), 2 * count, total, "id", "v").collect()
     lifted = lift(np.array([r["v"] for r in sample], dtype=np.float64), longest)
     _, first = np.unique(lifted, axis=0, return_index=True)
-    distinct = lifted[np.sort(first)]
-    chosen, nearest_chosen = [0], distinct @ distinct[0]
-    while len(chosen) < min(count, len(distinct)):
-        nearest_chosen[chosen] = np.inf
-        chosen.append(int(np.argmin(nearest_chosen)))
-        nearest_chosen = np.maximum(nearest_chosen, distinct @ distinct[chosen[-1]])
-    return [distinct[chosen], distinct[:count]]
+    return lifted[np.sort(first)][:count]
 
 
 def lift(x: np.ndarray, longest: float) -> np.ndarray:
@@ -54,22 +52,73 @@ def lift(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(room)[:, None]]) / longest
 
 
-def positions(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each vector the position of each pivot in its list of pivots, nearest first."""
-    order = np.argsort(-(x @ pivots.T), axis=1, kind="stable")
-    place = np.empty(order.shape, np.int16)
-    np.put_along_axis(place, order, np.arange(len(pivots), dtype=np.int16)[None, :], axis=1)
-    return place
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
+    """For each lifted vector its nearest pivots, in order."""
+    count = min(count, len(pivots))
+    out = np.empty((len(x), count), np.int16)
+    for first in range(0, len(x), ROWS_AT_A_TIME):
+        near = -(x[first : first + ROWS_AT_A_TIME] @ pivots.T)
+        some = np.argpartition(near, count - 1, axis=1)[:, :count]
+        some.sort(axis=1)
+        order = np.argsort(np.take_along_axis(near, some, axis=1), axis=1, kind="stable")
+        out[first : first + ROWS_AT_A_TIME] = np.take_along_axis(some, order, axis=1)
+    return out
 
 
-def matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def represented(rows: DataFrame, pivots: np.ndarray, count: int, longest: float, flat: bool) -> DataFrame:
+    """(id, v) with `near`, the numbers of the nearest pivots in order (16 bits each). Queries are laid `flat`, at their own length."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                lifted = np.hstack([x, np.zeros((len(x), 1))]) if flat else lift(x, longest)
+                found = nearest_pivots(lifted, pivots, count).astype("<i2")
+                near = pa.array([row.tobytes() for row in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, near], ["id", "v", "near"])
+
+    kind = rows.schema["v"].dataType.simpleString()
+    return rows.select("id", "v").mapInArrow(describe, f"id long, v {kind}, near binary")
+
+
+def lists_of(column: pa.ChunkedArray) -> np.ndarray:
+    flat = b"".join(column.to_pylist())
+    return np.frombuffer(flat, "<i2").reshape(len(column), -1)
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def search_cell(
-    pivot_sets: list[np.ndarray], longest: float, k: int, share: float, least: int
-) -> Callable[[pa.Table, pa.Table], pa.Table]:
+class Files:
+    """Pivot inverted files of one block: under each pivot the vectors that have it among their nearest, with its place there."""
+
+    def __init__(self, near: np.ndarray, pivots: int) -> None:
+        self.n, self.m = near.shape
+        flat = near.reshape(-1)
+        order = np.argsort(flat, kind="stable")
+        self.vectors = (order // self.m).astype(np.int32)
+        self.places = (order % self.m).astype(np.int32)
+        self.starts = np.searchsorted(flat[order], np.arange(pivots + 1))
+
+    def ranked(self, own: np.ndarray, count: int) -> np.ndarray:
+        """The `count` vectors with the least footrule distance to a query's list; only its own pivots' files are opened.
+
+        A pivot that is missing in a list stands right after its end. Then each pivot that two lists share takes
+        twice the room behind the later of its two places off the distance of lists that share none.
+        """
+        starts, sizes = self.starts[own], self.starts[own + 1] - self.starts[own]
+        before = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+        place = np.repeat(np.arange(len(own)), sizes)
+        closer = np.bincount(self.vectors[at], weights=self.m - np.maximum(place, self.places[at]), minlength=self.n)
+        # equal distances by place, so that a repeated task takes the same ones
+        key = np.arange(self.n) - closer.astype(np.int64) * self.n
+        return np.argpartition(key, count - 1)[:count] if count < self.n else np.arange(self.n)
+
+
+def search_cell(pivots: int, k: int, share: float, each: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """Searches one block of the index for one block of queries."""
 
     def search(index: pa.Table, queries: pa.Table) -> pa.Table:
@@ -89,28 +138,11 @@ def search_cell(
             members = np.argsort(copy_of, kind="stable")
             begins = np.searchsorted(copy_of[members], np.arange(len(distinct) + 1))
 
-            # The inverted files of each set: for each pivot its position in every vector's list.
-            lifted = lift(distinct, longest)
-            files = [np.ascontiguousarray(positions(lifted, pivots).T) for pivots in pivot_sets]
-            count = min(len(distinct), max(least, int(share * len(distinct))))
-            query_ids, q = queries["id"].to_numpy(), matrix(queries["v"])
-            flat = np.hstack([q, np.zeros((len(q), 1))])
-            lists = [positions(flat, pivots) for pivots in pivot_sets]
-            numbers = np.arange(len(distinct), dtype=np.int64)
-            footrule = np.empty(len(distinct), np.int16 if len(pivot_sets[0]) <= 256 else np.int32)
-            for n, (query, vector) in enumerate(zip(query_ids, q)):
-                near = numbers
-                if count < len(distinct):
-                    best_of = []
-                    for own_files, own_lists in zip(files, lists):
-                        footrule[:] = 0
-                        for file, place in zip(own_files, own_lists[n]):
-                            gap = file - place
-                            np.abs(gap, out=gap)
-                            footrule += gap
-                        ranked = footrule.astype(np.int64) * len(distinct) + numbers
-                        best_of.append(np.argpartition(ranked, count - 1)[:count])
-                    near = np.unique(np.concatenate(best_of))
+            files = Files(lists_of(index["near"])[by_id][first[by_first]], pivots)
+            count = min(len(distinct), max(each * k, int(share * len(distinct))))
+            query_ids, q, lists = queries["id"].to_numpy(), matrix(queries["v"]), lists_of(queries["near"])
+            for query, vector, own_list in zip(query_ids, q, lists):
+                near = files.ranked(own_list, count)
                 score = distinct[near] @ vector
                 if len(near) > k + 1:  # the query's own vector may be among them
                     bound = -np.partition(-score, k)[k]
@@ -141,17 +173,19 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     pivots: int = PIVOTS,
+    nearest_count: int = NEAREST,
     block_rows: int = BLOCK_ROWS,
     rerank_share: float = RERANK_SHARE,
-    rerank_least: int = RERANK_LEAST,
+    rerank_each: int = RERANK_EACH,
 ) -> DataFrame:
     """For each query row its `k` nearest other rows by inner product: query_id, rank, vec_id, score.
 
-    A vector is represented by the orders of its nearest `pivots` in two sets, one chosen farthest first and one at
-    random, from a bounded sample. The rows are dealt to blocks of about `block_rows`, each with its own inverted files (for every pivot the positions it
-    has in the block's vectors). Blocks of queries visit all blocks of the index; in a cell, vectors are ranked
-    by the footrule distance of the orders, and the best `rerank_share` of them (at least `rerank_least`) by
-    either set are ranked by the inner product in double precision. The best `k` of all blocks are kept, ties to the smaller id.
+    A vector is represented by its `nearest_count` nearest pivots in order, of `pivots` drawn from a bounded sample. The rows are dealt to blocks of
+    about `block_rows`, each with its own inverted files (under every pivot the vectors that have it in their lists, and where). Blocks of queries visit
+    all blocks of the index; in a cell a query opens the files of its own nearest pivots alone, vectors are ranked by the footrule
+    distance of the lists, and the best `rerank_share` of the block (at least `rerank_each` for each of the `k`) are
+    ranked by the inner product in double precision. The best `k` of all blocks are kept, ties to the smaller id. Tables of any size
+    take this path.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null
     id or vectors whose length is not the most frequent one. Rows equal in id and vector count once; rows that
@@ -179,11 +213,16 @@ def nearest(
     def dealt(n: int):
         return F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(n)).cast("int")
 
-    index = rows.select("id", "v", dealt(blocks).alias("block")).withColumn("query_block", every(query_blocks))
-    asked = asked.withColumn("query_block", dealt(query_blocks)).withColumn("block", every(blocks))
-    cell = ["block", "query_block"]
     chosen = choose_pivots(rows, pivots, facts["longest"], facts["rows"])
-    search = search_cell(chosen, facts["longest"], k, rerank_share, rerank_least)
+
+    def posted(df: DataFrame, flat: bool) -> DataFrame:
+        """Written: every cell reads it, and pivots are not to be ranked again for each."""
+        return through_table(represented(df, chosen, nearest_count, facts["longest"], flat), "neighbours-posted")
+
+    index = posted(rows, False).withColumn("block", dealt(blocks)).withColumn("query_block", every(query_blocks))
+    asked = posted(asked, True).withColumn("query_block", dealt(query_blocks)).withColumn("block", every(blocks))
+    cell = ["block", "query_block"]
+    search = search_cell(len(chosen), k, rerank_share, rerank_each)
     found = index.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(
         lambda left, right: search(left, right), schema
     )

@@ -3,10 +3,11 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import SF, read
 
-from fhirlake.llm.neighbours import nearest
+from fhirlake.llm.neighbours import Files, nearest
 
 
 def brute(rows, asked, k):
@@ -35,23 +36,57 @@ def same(a, b):
     )
 
 
+def recall(got, x, queries):
+    hits = {}
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert len(got[q]) == 20 and np.allclose([s for _, s in got[q]], [score[i] for i, _ in got[q]], rtol=1e-12)
+        hits[q] = len(set(np.argsort(-score)[:20]) & {i for i, _ in got[q]}) / 20
+    return hits
+
+
 def test_given_vectors(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
-    want = brute(read(SF, "embeddings", "vec_id, embedding"), lambda q: q % 20 == 0, 20)
-    assert same(mine(df, df.filter("vec_id % 20 = 0"), 20), want)
+    rows = dict(read(SF, "embeddings", "vec_id, embedding"))
+    ids = sorted(rows)
+    x = np.array([rows[i] for i in ids], np.float64)
+    assert ids == list(range(len(ids)))
+    found = recall(mine(df, df.filter("vec_id % 20 = 0"), 20), x, range(0, len(ids), 20))
+    assert np.mean(list(found.values())) >= 0.9
+
+
+def test_recall_with_the_query_s_own_settings(spark):
+    """50,000 rows in four blocks; a third of them in one cluster."""
+    rng = np.random.default_rng(2)
+    x, hot = rng.normal(size=(50_000, 64)).astype(np.float32).astype(np.float64), np.arange(50_000) % 3 == 1
+    x[hot] = rng.normal(size=64) + 0.1 * x[hot]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    values = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(50_000)), "embedding": values}))
+    found = recall(mine(df, df.filter("vec_id % 500 = 0"), 20), x, range(0, 50_000, 500))
+    inside = np.mean([r for q, r in found.items() if hot[q]])
+    outside = np.mean([r for q, r in found.items() if not hot[q]])
+    print("recall", inside, outside)
+    assert inside >= 0.9 and outside >= 0.9
 
 
 def test_recall_of_the_index(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(12_000, 48)) * rng.uniform(0.5, 2, (12_000, 1))  # lengths differ, nothing is clustered
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = mine(df, df.filter("vec_id % 100 = 0"), 20, block_rows=6_000, rerank_least=100)
-    hits = 0
-    for q in range(0, 12_000, 100):
-        score = x @ x[q]
-        score[q] = -np.inf
-        hits += len(set(np.argsort(-score)[:20]) & {i for i, _ in got[q]})
-    assert hits / (120 * 20) >= 0.9
+    got = mine(df, df.filter("vec_id % 100 = 0"), 20, block_rows=6_000)
+    assert np.mean(list(recall(got, x, range(0, 12_000, 100)).values())) >= 0.9
+
+
+def test_files_give_the_footrule_order():
+    rng = np.random.default_rng(3)
+    near = np.array([rng.permutation(30)[:8] for _ in range(400)], np.int16)
+    files, m = Files(near, 30), 8
+    for own in near[:20]:
+        distance = [sum(abs((list(own).index(p) if p in own else m) - (list(v).index(p) if p in v else m)) for p in {*own, *v}) for v in near]
+        wanted = np.lexsort((np.arange(400), distance))[:50]
+        assert set(files.ranked(own, 50)) == set(wanted)
 
 
 @pytest.mark.parametrize("spread", [0.003, 0.1])
@@ -61,7 +96,7 @@ def test_recall_with_a_third_in_one_cluster(spark, spread):
     x[hot] = rng.normal(size=64) + spread * x[hot]
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = mine(df, df.filter("vec_id % 100 = 0"), 20, block_rows=6_000, rerank_least=100)
+    got = mine(df, df.filter("vec_id % 100 = 0"), 20, block_rows=6_000)
     hits = defaultdict(list)
     for q in range(0, 12_000, 100):
         score = x @ x[q]
@@ -78,7 +113,7 @@ def test_edges(table):
     df = table([(i, v, i, 0) for i, v in rows], "vec_id long, embedding array<double>, id long, block int")
     want = brute(rows, lambda q: q % 20 == 0, 20)
     assert same(mine(df, df.filter("vec_id % 20 = 0"), 20), want)
-    assert same(mine(df, df.filter("vec_id % 20 = 0"), 200, block_rows=9, rerank_least=1, rerank_share=1.0), brute(rows, lambda q: q % 20 == 0, 200))
+    assert same(mine(df, df.filter("vec_id % 20 = 0"), 200, block_rows=9, rerank_each=1, rerank_share=1.0), brute(rows, lambda q: q % 20 == 0, 200))
 
 
 def test_nothing_to_search(table):
