@@ -28,7 +28,7 @@ from fhirlake.llm.spans import RangeHash, process_cache, text_bytes
 # Longer pieces are encoded each time they come, so that the dictionary's size is bounded.
 LONGEST_KEPT = 64
 MOST_KEPT = 200_000
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 # Fixed value: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLANK, BREAK = 32, 10

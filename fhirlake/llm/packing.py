@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fhirlake.llm.encode import BATCH_BYTES, Encoder
-from fhirlake.llm.spans import groups, text_bytes
+from fhirlake.llm.spans import groups, releasing, text_bytes
 from fhirlake.sources.shared import shared_dir
 
 
@@ -23,6 +23,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, key: str, text: str
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    @releasing
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
         block = TaskContext.get().partitionId()

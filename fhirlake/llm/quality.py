@@ -296,15 +296,18 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
 
 
 def keep_good(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame:
-    """`docs` without the rows whose text the scorer, trained on `docs`, rejects; texts without words are rejected."""
+    """`docs` without the rows whose text the scorer, trained on `docs`, rejects.
+
+    Null and empty texts and texts without words are rejected. Each row is judged by its text alone, so repeated rows stay or
+    go together and keys may be null. Other columns are unchanged. An empty table gives no rows.
+    """
     weights = train(docs, text=text, **settings).weights
-    place = docs.columns.index(text)
 
-    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = pa.compute.fill_null(batch.column(place), "")
-            pair = pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], names=["none", "text"])
-            kept = [scores(run, weights) >= 0.5 for _, run in texts([pair])]
-            yield batch.filter(pa.array(np.concatenate(kept) if kept else np.empty(0, bool)))
+    @F.arrow_udf("boolean")
+    def good(column: pa.Array) -> pa.Array:
+        pair = pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], names=["none", "text"])
+        kept = [scores(run, weights) >= 0.5 for _, run in texts([pair])]
+        return pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
 
-    return docs.mapInArrow(good, docs.schema)
+    # only the texts go to Python, the other columns stay where they are
+    return docs.filter(good(F.coalesce(F.col(text), F.lit(""))))

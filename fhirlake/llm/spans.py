@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,22 @@ def process_cache() -> dict:
     return sys.modules.setdefault("_fhirlake_llm_cache", types.ModuleType("_fhirlake_llm_cache")).__dict__
 
 
+def releasing(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task that ends by giving free memory back to the system: its worker stays for other tasks and other stages."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without nulls, and where each text begins; no copy."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -93,7 +111,7 @@ def groups(starts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 BLANK = 32
 #: Texts are handled in runs of about so many bytes, to bound a task's memory.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 
 
 class Shingles:

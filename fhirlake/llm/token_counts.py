@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fhirlake.llm.encode import BATCH_BYTES, Encoder
-from fhirlake.llm.spans import groups, process_cache, text_bytes
+from fhirlake.llm.spans import groups, process_cache, releasing, text_bytes
 
 
 def _lengths(path: str):
@@ -43,6 +43,7 @@ def token_counts(
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(vocabulary)
         for batch in batches:
