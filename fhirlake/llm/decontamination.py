@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fhirlake.llm.shingling import SIMILARITY, WORDS, normal, text_key, weighted_jaccard
-from fhirlake.llm.spans import RUN_BYTES, Shingles, U, groups, mix, multiset, occurrences, text_bytes
+from fhirlake.llm.spans import RUN_BYTES, Shingles, U, groups, mix, multiset, occurrences, releasing, text_bytes
 from fhirlake.sources.shared import through_table
 
 #: 128-bit fingerprints in 8 blocks of 16 bits. Within a radius of 31 some block differs in at most 3 bits. At
@@ -99,6 +99,7 @@ def windows(docs: DataFrame, known: np.ndarray, lengths: np.ndarray, words: int,
     """
     table = docs.sparkSession.sparkContext.broadcast((known, lengths))  # bounded by SLICE_SHINGLES
 
+    @releasing
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, lengths = table.value
         widths = sorted({min(int(n), words) for n in np.unique(lengths)})
@@ -214,10 +215,10 @@ def contaminated(
         "item_id", F.col("words").alias("length"), "h", "l", "at.block", F.col("at.bits").bitwiseXOR(F.col("change")).alias("bits")
     )
     asked = distinct.select("content", "high", "low", F.explode(keys).alias("at"))
-    asked = asked.select("content", "high", "low", "at.block", "at.bits")
+    asked = asked.select("content", F.col("content.words").alias("length"), "high", "low", "at.block", "at.bits")
     apart = F.bit_count(F.col("high").bitwiseXOR(F.col("h"))) + F.bit_count(F.col("low").bitwiseXOR(F.col("l")))
     # never broadcast: there are thousands of probes per item, which the estimate of their size leaves out
-    near = asked.join(probes.hint("merge"), ["block", "bits"]).filter((F.col("length") == F.col("content.words")) & (apart <= RADIUS))
+    near = asked.join(probes.hint("merge"), ["length", "block", "bits"]).filter(apart <= RADIUS)
     near = near.select("content", "item_id").distinct()
 
     of_items = items.select("item_id", F.col("shingles").alias("of_item"))
@@ -234,5 +235,6 @@ def contaminated(
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **settings) -> DataFrame:
     """`docs` without the rows whose text holds an item of the benchmark. Rows without words stay."""
     held = through_table(contaminated(docs, benchmark, text=text, **settings).select("node").distinct(), "benchmark-held")
-    marked = docs.withColumn("__node", text_key(normal(F.col(text))))
-    return marked.join(held.withColumnRenamed("node", "__node"), "__node", "left_anti").select(docs.columns)
+    # the row as one column, so that its names cannot clash with others
+    marked = docs.select(F.struct("*").alias("row"), text_key(normal(F.col(text))).alias("node"))
+    return marked.join(held, "node", "left_anti").select("row.*")

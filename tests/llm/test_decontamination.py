@@ -91,3 +91,34 @@ def test_fingerprints_within_the_radius():
         prints = decontamination.simhash(owner, multiset(hashes, number), 2)
         off.append(int(np.bitwise_count(prints[0] ^ prints[1]).sum()))
     assert np.mean(np.array(off) <= decontamination.RADIUS) > 0.985
+
+
+def test_columns_of_any_name_stay(table):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    names = "doc_id long, text string, row int, node string, __node string, item_id int"
+    df = table([(1, f"so {item} so", 1, "a", "b", 3), (2, "nothing of the kind", 2, "c", "d", 4), (3, None, 3, "e", None, 5)], names)
+    kept = decontamination.without_benchmark(df, table([(1, item)], "item_id long, text string"))
+    assert kept.columns == df.columns
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in df.collect() if r["doc_id"] != 1}
+
+
+def test_windows_meet_items_of_their_length_alone(table, monkeypatch):
+    """Ten times the benchmark makes about ten times the compared rows, not the product with the windows of other lengths."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(500)]
+    items = [(n, " ".join(rng.choices(words, k=12 + n % 60))) for n in range(120)]
+    docs = table([(n, " ".join(rng.choices(words, k=20)) + " " + items[n % 120][1]) for n in range(240)], "doc_id long, text string")
+    compared = []
+    plain = type(docs).join
+
+    def counted(self, other, on=None, how=None):
+        joined = plain(self, other, on, how) if how else plain(self, other, on)
+        if on == ["length", "block", "bits"]:
+            compared.append(joined.count())
+        return joined
+
+    monkeypatch.setattr(type(docs), "join", counted)
+    for n in (12, 120):
+        found = decontamination.contaminated(docs, table(items[:n], "item_id long, text string"))
+        assert found.select("doc_id").distinct().count() >= 2 * n
+    assert compared[1] <= 15 * compared[0]
