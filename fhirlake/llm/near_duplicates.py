@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fhirlake.llm.shingling import SIMILARITY, WORDS, normal, text_key, weighted_jaccard
-from fhirlake.llm.spans import RUN_BYTES, Shingles, U, groups, mix, multiset, occurrences, text_bytes
+from fhirlake.llm.spans import RUN_BYTES, Shingles, U, groups, mix, multiset, occurrences, releasing, text_bytes
 from fhirlake.sources.shared import through_table
 
 #: Signature length and rows per band: at similarity 0.8 a pair is missed with probability 6e-5.
@@ -76,6 +76,7 @@ def signed(docs: DataFrame, key: str, text: str, words: int, k: int, rows: int)
     body = docs.select(F.col(key).alias("doc_id"), normal(F.col(text)).alias("body"))
     body = body.select("doc_id", text_key(F.col("body")).alias("node"), "body")
 
+    @releasing
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts = text_bytes(batch.column(2))
@@ -100,6 +101,7 @@ def shingled(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFr
     body = body.select(text_key(F.col("body")).alias("node"), "body").filter("node is not null")
     body = body.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
+    @releasing
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, starts = text_bytes(batch.column(1))
@@ -285,12 +287,13 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **sett
         F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("node") == F.col("k_node")),
         "left_anti",
     )
-    losers = through_table(losers.select(F.col("doc_id").alias("__lost_id"), F.col("node").alias("__lost_node")), "near-lost")
-    marked = docs.withColumn("__node", text_key(normal(F.col(text))))
-    same = F.col(key).eqNullSafe(F.col("__lost_id")) & (F.col("__node") == F.col("__lost_node"))
+    losers = through_table(losers.select(F.col("doc_id").alias("lost_id"), F.col("node").alias("lost_node")), "near-lost")
+    # the row as one column, so that its names cannot clash with others
+    marked = docs.select(F.struct("*").alias("row"), F.col(key).alias("doc_id"), text_key(normal(F.col(text))).alias("node"))
+    same = F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("node") == F.col("lost_node"))
     left = marked.join(losers, same, "left_anti")
     repeated = found.groupBy("doc_id", "node").count().filter("count > 1")
     if not repeated.isEmpty():
-        worded = left.filter("__node is not null").dropDuplicates([key, "__node"])
-        left = left.filter("__node is null").unionByName(worded)
-    return left.drop("__node")
+        worded = left.filter("node is not null").dropDuplicates(["doc_id", "node"])
+        left = left.filter("node is null").unionByName(worded)
+    return left.select("row.*")

@@ -103,3 +103,12 @@ def test_signatures_agree_as_often_as_sets_are_alike(shared):
     want = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     assert abs((found[0] == found[1]).mean() - want) < 0.03
     assert mix(np.arange(3, dtype=U)).dtype == U
+
+
+def test_columns_of_any_name_stay(table):
+    text = "one two three four five six seven eight nine ten"
+    names = "doc_id long, text string, row int, node string, __node string, lost_id int"
+    df = table([(n, text if n < 3 else f"{text} {n}" * n, n, "a", "b", 7) for n in range(5)], names)
+    kept = near_duplicates.keep_one(df)
+    assert kept.columns == df.columns
+    assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in df.collect() if r["doc_id"] not in (1, 2)}
