@@ -276,9 +276,10 @@ def scan(
     from the corpus's own unambiguous findings (see `labelled`) and fixed examples.
 
     Null and empty texts hold nothing. Equal texts with one path are judged once and give a row per distinct doc_id. Null
-    keys take part. Other columns are not read. An empty table gives no rows.
+    keys take part. Without a column `path` all documents have the same empty one. Other columns are not read. An
+    empty table gives no rows.
     """
-    rows = screened(docs, key, text, path)
+    rows = screened(docs, key, text, path if path in docs.columns else None)
     words = through_table(dictionary(docs, text), "secrets-dictionary")
     found = through_table(described(candidates(rows), words), "secrets-candidates")
     model = train(labelled(found) if findings is None else findings, words)
@@ -293,15 +294,24 @@ def scan(
 def redact(docs: DataFrame, *, text: str = "text", mark: str = "[SECRET]", **settings) -> DataFrame:
     """`docs` with every secret in the texts replaced by `mark`; all rows stay and other columns are unchanged.
 
-    Texts that cannot hold a candidate are not moved.
+    A value is replaced in the words where it was found, not where it stands as a part of others. Texts that cannot
+    hold a candidate are not moved. Null and empty texts stay as they are; repeated rows are all redacted. For the rest see `scan`.
     """
     found = scan(docs, text=text, **settings)
-    values = found.groupBy("id").agg(F.collect_set("value").alias("values"))
-    # longer values first, so that none is cut by a part of it
-    order = F.array_sort("values", lambda a, b: F.length(b) - F.length(a))
-    values = values.select(F.col("id").alias("__id"), order.alias("__values"))
+    hits = found.select("id", "word", "value").distinct().groupBy("id").agg(F.collect_list(F.struct("word", "value")).alias("hits"))
     screened = F.coalesce(F.col(text).rlike(SCREEN), F.lit(False))
-    touched = docs.filter(screened).withColumn("__id", F.md5(F.col(text))).join(values, "__id", "left")
-    clean = F.aggregate("__values", F.col(text), lambda done, v: F.replace(done, v, F.lit(mark)))
-    touched = touched.withColumn(text, F.when(F.col("__values").isNull(), F.col(text)).otherwise(clean))
-    return docs.filter(~screened).unionByName(touched.select(docs.columns))
+    # the row as one column, so that its names cannot clash with others
+    touched = docs.filter(screened).select(F.struct("*").alias("row"), F.md5(F.col(text)).alias("id")).join(hits, "id", "left")
+    body = F.col("row")[text]
+    # longer values first, so that none is cut by a part of it
+    order = F.array_sort("hits", lambda a, b: F.length(b["value"]) - F.length(a["value"]))
+
+    def clean(own: Column, place: Column) -> Column:
+        values = F.filter(order, lambda h: h["word"] == place)
+        return F.aggregate(values, own, lambda done, h: F.replace(done, h["value"], F.lit(mark)))
+
+    words, gaps = F.split(body, r"\s+"), F.regexp_extract_all(body, F.lit(r"(\s+)"), F.lit(1))
+    joined = F.zip_with(F.transform(words, clean), F.concat(gaps, F.array(F.lit(""))), lambda w, gap: F.concat(w, gap))
+    whole = F.when(F.col("hits").isNull(), body).otherwise(F.array_join(joined, ""))
+    done = touched.select(*(F.col("row")[c].alias(c) if c != text else whole.alias(c) for c in docs.columns))
+    return docs.filter(~screened).unionByName(done)

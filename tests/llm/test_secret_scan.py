@@ -100,6 +100,22 @@ def test_plan_has_no_python(table):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_only_the_place_of_a_secret_is_replaced(table):
+    texts = ["password: monkey7Qx! and monkey7Qx!s  stay\n\tpassword=Ab3xYz9 not Ab3xYz9qq ", f" token={AWS} {AWS}", None, "", "plain"]
+    names = "doc_id long, text string, id string, row int, hits int"
+    df = table([(n, t, "x", n, 1) for n, t in enumerate(texts)] + [(7, texts[1], "y", 8, 1)] * 2, names)
+    done = {tuple(r) for r in secret_scan.redact(df).collect()}
+    found = secret_scan.scan(df).collect()
+    assert secret_scan.redact(df).columns == df.columns and secret_scan.redact(df).count() == 7
+    assert {(1, f" token=[SECRET] [SECRET]", "x", 1, 1), (7, " token=[SECRET] [SECRET]", "y", 8, 1)} <= done
+    assert {(2, None, "x", 2, 1), (3, "", "x", 3, 1), (4, "plain", "x", 4, 1)} <= done
+    (text,) = [r[1] for r in done if r[0] == 0]
+    for value, near in (("monkey7Qx!", "monkey7Qx!s  stay\n\t"), ("Ab3xYz9", "not Ab3xYz9qq ")):
+        if value in {r["value"].rstrip(";") for r in found}:
+            assert near in text
+    assert text.count("[SECRET]") == len({(r["word"], r["value"]) for r in found if r["doc_id"] == 0})
+
+
 def test_empty_table(table):
     df = table([], "doc_id long, text string, source string")
     assert secret_scan.scan(df).count() == 0 and secret_scan.redact(df).count() == 0
