@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.documents import FILLED, READABLE
-from bindings.registry import Data, register
+from bindings.registry import PLAIN, Data, register
 from fhirlake import schemas
 from fhirlake.functions import paths
 from fhirlake.operators import dedupe, flatten, inspect, profile
@@ -470,6 +470,30 @@ register(
     "('recorded_date', 'timestamp_ntz'), ('load_timestamp', 'timestamp_ntz')) AS t(column_name, column_type) "
     "WHERE (SELECT count(*) FROM customer) > 0",
 )
+_PROFILED = ("condition_id", "encounter_id", "code", "display", "abatement_date", "load_batch_id")
+register(
+    "S17_column_profile",
+    lambda d: catalog.column_profile(_load(d, "conditions", ["replace"]).select(*_PROFILED)),
+    " UNION ALL ".join(
+        f"SELECT {i} AS position, '{c}' AS column_name, '{'timestamp_ntz' if c == 'abatement_date' else 'string'}' AS column_type, "
+        f"count(*) AS rows, {'count(*)' if c == 'load_batch_id' else f'count({c})'} AS non_null FROM bronze_conditions"
+        for i, c in enumerate(_PROFILED)
+    ),
+)
+
+
+def _from_ddl(d: Data) -> DataFrame:
+    """The bronze encounters in a table made from the DDL of theirs."""
+    loaded = _load(d, "encounters", ["replace"])
+    copy = f"{CHECK_DB}.copy_{uuid.uuid4().hex}"
+    catalog.create_like(d.spark, bronze.bronze_name("encounters", CHECK_DB), copy)
+    loaded.select(*d.spark.table(copy).columns).write.insertInto(copy)
+    found = shared.through_table(d.spark.table(copy), "copy")
+    d.spark.sql(f"DROP TABLE {copy}")
+    return found
+
+
+register("S17_table_from_ddl", _from_ddl, _LOADED.format(batch="batch-0", record="encounters"))
 register(
     "S15_bronze_state",
     lambda d: bronze.bronze_state({f"bronze_{r}": d.bronze(r) for r in RECORDS}),
@@ -724,6 +748,21 @@ register(
 )
 
 
+# The same diagnostics on resources that were parsed once.
+for name, table, diagnose in (
+    ("N17_observation_shapes", "events", inspect.observation_shapes),
+    ("N18_unvalued_codes", "events", inspect.unvalued_codes),
+    ("N18_unvalued_fields", "events", inspect.unvalued_fields),
+    ("N20_medication_forms", "orders", inspect.medication_forms),
+    ("N20_component_counts", "events", inspect.component_counts),
+):
+    register(
+        f"{name}_variant",
+        lambda d, t=table, f=diagnose: f(inspect.as_variants(_resources(d, t))),
+        PLAIN[name],
+    )
+
+
 def _unreadable(d: Data) -> DataFrame:
     """Patients of every third bundle with an object where a list of names should be."""
     resources = bundles.explode_resources(bundles.decode_bundles(d.bundles("customer")))

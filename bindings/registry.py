@@ -40,6 +40,7 @@ class Data:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+PLAIN: dict[str, str] = {}  # as stated, without the relations that `oracle.statement` adds
 ORACLES: dict[str, str] = {}
 
 
@@ -48,4 +49,5 @@ def register(name: str, build: Callable[[Data], DataFrame], sql: str | None) ->
         raise ValueError(f"{name} registered twice")
     QUERIES[name] = lambda spark, sf_dir: build(Data(spark, sf_dir))
     if sql is not None:
+        PLAIN[name] = sql
         ORACLES[name] = oracle.statement(sql)

@@ -109,5 +109,31 @@ def column_report(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, column_name string, column_type string")
 
 
+def column_profile(df: DataFrame) -> DataFrame:
+    """`column_report` with the number of rows and of values that are not NULL of each column, from one pass."""
+    fields = df.schema.fields
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)])
+    rows = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column_name"),
+            F.lit(f.dataType.simpleString()).alias("column_type"),
+            F.col("n").alias("rows"),
+            F.col(f"c{i}").alias("non_null"),
+        )
+        for i, f in enumerate(fields)
+    ]
+    return counts.select(F.inline(F.array(*rows)))
+
+
+def create_like(spark: SparkSession, table: str, copy: str) -> None:
+    """An empty table of another name from the first one's definition: columns, types, partitions and properties."""
+    ddl = table_ddl(spark, table)
+    head, rest = ddl.split("(", 1)
+    # the copy gets a place of its own
+    rest = re.sub(r"\nLOCATION '[^']*'", "", rest)
+    spark.sql(f"CREATE TABLE {copy} ({rest}")
+
+
 def table_ddl(spark: SparkSession, table: str) -> str:
     return spark.sql(f"SHOW CREATE TABLE {table}").first()[0]

@@ -284,3 +284,12 @@ def test_incremental_intake(spark, database, tmp_path):
     assert patients.select("load_batch_id").distinct().count() == 2
     drugs = bronze.source(spark, "medication_requests", database)
     assert drugs.filter("medication_display IS NULL").count() == 0
+
+
+def test_column_profile_and_a_table_from_ddl(spark, database):
+    bronze.load_bronze(encounters(spark, "2020-01-01", None), "encounters", "replace", "one", AT, database=database)
+    table = bronze.bronze_name("encounters", database)
+    profile = {r["column_name"]: (r["column_type"], r["rows"], r["non_null"]) for r in catalog.column_profile(spark.table(table)).collect()}
+    assert profile["start_time"] == ("timestamp_ntz", 2, 1) and profile["load_batch_id"] == ("string", 2, 2)
+    catalog.create_like(spark, table, f"{database}.copy")
+    assert spark.table(f"{database}.copy").schema == spark.table(table).schema and spark.table(f"{database}.copy").count() == 0

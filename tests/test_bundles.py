@@ -361,3 +361,11 @@ def test_null_counts(staged):
     counts = profile.null_counts(medications, ["medication_display"]).first()
     assert (counts.n, counts.medication_display_nulls) == (7, 2)
     assert medications.filter(F.col("medication_display").isNull()).count() == 2
+
+
+def test_variants_give_the_same_diagnostics(staged, rows):
+    parsed_once = inspect.as_variants(staged.resources)
+    assert "resource" not in parsed_once.columns
+    for diagnose in (inspect.observation_shapes, inspect.unvalued_codes, inspect.unvalued_fields, inspect.medication_forms, inspect.component_counts):
+        assert rows(diagnose(parsed_once)) == rows(diagnose(staged.resources)), diagnose.__name__
+    assert inspect.find_resource(parsed_once, "Patient", "p1").count() == 1
