@@ -225,7 +225,9 @@ def _unnested(decoded: DataFrame, *others: Column) -> DataFrame:
 
 def explode_entries(decoded: DataFrame) -> DataFrame:
     """Every entry of every readable bundle, also those without a resource."""
-    return _unnested(decoded).select("bundle_id", F.inline("all"))
+    # An expression and not the column itself, for which the optimizer would add a filter and push it below the decoding.
+    every = F.filter("all", lambda r: r["pos"] >= 0)
+    return _unnested(decoded).select("bundle_id", F.inline(every))
 
 
 def explode_resources(decoded: DataFrame) -> DataFrame:
