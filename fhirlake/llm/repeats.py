@@ -197,6 +197,8 @@ class Repeats:
         """(row, from, to): byte ranges covered by repeated strings; they may overlap, none is left out."""
         found = self._anchors()
         twice = found.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+        # written, so that both sides of the join are plain shuffles and adaptive execution can split a frequent gram
+        twice = through_table(twice, "repeats-grams")
         cut = self._blocks(found.join(twice, "gram").select("row", "at", "lo", "hi"))
 
         # A core's contexts, how often each comes, and one place of each.
@@ -213,6 +215,7 @@ class Repeats:
         witness = contexts.filter("same > 1 and all > same").select("one.row", "one.begin")
         starts = self._starts(alone.unionByName(witness))
         twice = starts.groupBy("p", "q").agg(F.count("*").alias("n")).filter("n > 1").select("p", "q")
+        twice = through_table(twice, "repeats-prints")
         single = starts.join(twice, ["p", "q"])
         single = single.select("row", F.col("begin").alias("from"), (F.col("begin") + self.length).alias("to"))
         return through_table(whole.unionByName(single), "repeats-intervals")
@@ -237,20 +240,23 @@ class Repeats:
                     out["n_removed"].append(len(body) - len(kept))
                     out["n_spans"].append(len(spans))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                    out["removed"].append(len(spans) > 0)
+                    out["spans"].append([{"from": int(a), "to": int(b)} for a, b in spans])
                     if with_kept:
                         out["kept"].append(kept)
-                        out["spans"].append([{"from": int(a), "to": int(b)} for a, b in spans])
                 found = [pa.array(out[c], t) for c, t in zip(columns, types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["doc_id", *columns])
 
-        columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        columns = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "spans"]
+        ranges = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), ranges]
         kind = rows.schema["doc_id"].dataType.simpleString()
         schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+        schema += ", removed boolean, spans array<struct<from: bigint, to: bigint>>"
         if with_kept:
-            columns += ["kept", "spans"]
-            types += [pa.binary(), pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))]
-            schema += ", kept binary, spans array<struct<from: bigint, to: bigint>>"
+            columns += ["kept"]
+            types += [pa.binary()]
+            schema += ", kept binary"
         return rows.mapInArrow(cut, schema)
 
 
@@ -273,8 +279,8 @@ def remove_repeats(
 
     Strings are compared as UTF-8 bytes over all rows, within a row too; they never cross rows, and their
     occurrences may overlap. All occurrences are removed, judged on the input. Per row: doc_id, n_bytes,
-    n_removed, n_spans (maximal removed runs), kept_sha256 (lower-case hex of the bytes left), and unless
-    `with_kept` is false `kept` (binary: a cut may part a character) and `spans`.
+    n_removed, n_spans (maximal removed runs), kept_sha256 (lower-case hex of the bytes left), removed (whether any
+    byte is), spans (the runs, from and to in bytes), and unless `with_kept` is false `kept` (binary: a cut may part a character).
 
     A null text is empty; texts shorter than `length` lose nothing. Repeated rows remove each other's bytes. Keys may
     be null or repeated. Other columns are not read. An empty table gives no rows.

@@ -27,7 +27,9 @@ def brute(rows, length=400):
 
 
 def mine(df):
-    return sorted((tuple(r) for r in remove_repeats(df, with_kept=False).collect()), key=str)
+    found = remove_repeats(df, with_kept=False).collect()
+    assert all(r["removed"] == (r["n_removed"] > 0) and len(r["spans"]) == r["n_spans"] for r in found)
+    return sorted((tuple(r)[:5] for r in found), key=str)
 
 
 def test_given_documents(spark):
