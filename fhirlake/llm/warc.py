@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fhirlake.llm.sampling import drawn
-from fhirlake.sources.shared import shared_dir
+from fhirlake.sources.shared import shared_dir, through_table
 
 # The skippable frame's magic number for dictionaries and the revisit profile's name.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -38,6 +38,11 @@ def record_id(page_id: str) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}").urn
 
 
+def unnamed_id(row: dict) -> str:
+    """Of a record without page_id: from what it holds, so that a repeated task writes the same bytes."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{row['record_type']}:{row['url']}:{row['payload_digest']}").urn
+
+
 def record(row: dict, date: str) -> bytes:
     """A response with the payload, or a revisit with the HTTP header alone."""
     http = (
@@ -49,7 +54,7 @@ def record(row: dict, date: str) -> bytes:
     head = [
         "WARC/1.1",
         f"WARC-Type: {row['record_type']}",
-        f"WARC-Record-ID: <{record_id(page) if page is not None else uuid.uuid4().urn}>",
+        f"WARC-Record-ID: <{record_id(page) if page is not None else unnamed_id(row)}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {quote(row['url'] or 'about:blank', safe=':/?#[]@!$&()*+,;=%~')}",
         f"WARC-Payload-Digest: sha256:{row['payload_digest']}",
@@ -102,6 +107,8 @@ def classify(pages: DataFrame, key: str, payload: str, url: str, least: int) ->
         .filter("copies > 1 and first is not null")
         .drop("copies")
     )
+    # Written, so that both sides of the join are plain shuffles and adaptive execution can split a payload that many pages share.
+    repeated = through_table(repeated, "warc-repeated")
     rows = pages.select(page, F.col(url).alias("url"), body.cast("binary").alias("payload"), size, digest)
     rows = rows.join(repeated, "payload_digest", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
@@ -240,8 +247,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, *, payloads: bool =
     Every stored payload is checked against its digest and length; a damaged or cut archive fails the job.
     `payloads=False` leaves the payload column out of the result.
     """
-    # Each archive is read by one task; its size is bounded by the writer.
-    files = manifest.select("path").repartition(F.col("path"))
+    # Each archive is read by one task; its size is bounded by the writer. The number is given, since adaptive
+    # execution would merge the few bytes of the paths into one task.
+    files = manifest.select("path").repartition(max(1, manifest.count()), "path")
     columns = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     columns += ["payload"] if payloads else []
     kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}

@@ -6,6 +6,7 @@ import hashlib
 import pytest
 import zstandard
 from conftest_llm import SF, read
+from pyspark.sql import functions as F
 
 from fhirlake.llm import warc
 
@@ -50,6 +51,36 @@ def test_edges(spark, table):
     assert warc.write_archives(df.filter("page_id is null")).agg({"records": "sum"}).first()[0] == 1
 
 
+def test_archives_are_read_by_many_tasks(spark, table, tmp_path):
+    rows = [(n, f"<p>{n}" + "word " * 200) for n in range(200)]
+    df = table([(p, "http://a/", h) for p, h in rows], "page_id long, url string, html string").repartition(40)
+    manifest = warc.write_archives(df, f"file://{tmp_path}/w", archive_bytes=1)
+    assert manifest.count() >= 40
+    tasks = warc.read_archives(spark, manifest, payloads=False).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 20 and max(r["count"] for r in tasks) <= 40
+
+
+def test_a_shared_payload_is_split(spark, table):
+    """The join to the first page of a payload has plain shuffles on both sides, which adaptive execution can split."""
+    same = "<p>" + "error " * 60
+    df = table([(n, "http://a/", same if n % 3 == 0 else f"{same}{n}") for n in range(600)], "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = warc.classify(df, "page_id", "html", "url", 100)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Aggregate" not in plan
+    kinds = warc.classify(df, "page_id", "html", "url", 100).groupBy("record_type").count().collect()
+    assert {r["record_type"]: r["count"] for r in kinds} == {"response": 401, "revisit": 199}
+
+
+def test_records_without_a_page_are_written_alike(table):
+    row = {"page_id": None, "url": "u", "payload": b"x", "payload_bytes": 1, "payload_digest": "d", "record_type": "response"}
+    assert warc.record(row, "1970-01-01T00:00:00Z") == warc.record(row, "1970-01-01T00:00:00Z")
+
+
 def test_empty_table(spark, table):
     manifest = warc.write_archives(table([], "page_id long, url string, html string"))
     assert manifest.count() == 0 and warc.read_archives(spark, manifest).count() == 0
