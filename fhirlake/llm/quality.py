@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fhirlake.llm.sampling import drawn
-from fhirlake.llm.spans import RangeHash, U, groups, text_bytes
+from fhirlake.llm.sampling import likely
+from fhirlake.llm.spans import RangeHash, U, groups, releasing, text_bytes
 
 # Frequent words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -189,10 +189,10 @@ def sparse(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row.astype(np.int32), column.astype(np.int32), value
 
 
-def fit(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 400) -> np.ndarray:
+def fit(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]], target: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Weights and bias of a logistic model for soft targets, by accelerated gradient steps."""
     n, size = WORD_FEATURES + SHAPE_FEATURES, len(target)
-    first = np.cumsum([0, *(r[0][-1] + 1 if len(r[0]) else 0 for r in runs)])
+    first = np.cumsum([0, *(r[3] for r in runs)])
     row = np.concatenate([r[0] + f for r, f in zip(runs, first)])
     column, value = (np.concatenate([r[i] for r in runs]) for i in (1, 2))
     # both classes weigh the same, however rare one is, unless one is all but absent
@@ -245,6 +245,7 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int
     spark: SparkSession = docs.sparkSession
     body = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    @releasing
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stop = _stop_hashes()
         found = np.zeros(3**LABELLERS, np.int64)
@@ -262,17 +263,34 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", rows: int
     votes = np.array([r["code"] for r in seen])[:, None] // 3 ** np.arange(LABELLERS) % 3
     labellers = estimate(votes, np.array([r["n"] for r in seen], np.float64))
 
+    @releasing
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stop = _stop_hashes()
+        for batch, run in texts(batches):
+            target = labellers.posterior(label(run, stop))
+            row, column, value = sparse(run)
+            cuts = pa.array(np.searchsorted(row, np.arange(run.n + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (column, value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(target), *lists], ["draw", "target", "columns", "values"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, targets = [], []
-        stop = _stop_hashes()
-        for _, run in texts(batches):
-            targets.append(labellers.posterior(label(run, stop)))
-            found.append(sparse(run))
+        for batch in batches:
+            targets.append(batch.column("target").to_numpy())
+            columns, values = batch.column("columns"), batch.column("values")
+            sizes = pa.compute.list_value_length(columns).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), sizes)
+            found.append((row, columns.flatten().to_numpy(), values.flatten().to_numpy(), batch.num_rows))
         weights = fit(found, np.concatenate(targets))
         yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
+    # features leave the tasks, not texts; a text has at most as many as the scorer has weights
     total = sum(r["n"] for r in seen)
-    sample = drawn(body.filter("text rlike '\\\\S'"), rows, total, "key", "text")
+    draw = F.xxhash64(F.lit(7), "key", "text")
+    some = body.filter("text rlike '\\\\S'").select(draw.alias("draw"), "text")
+    some = some.filter(likely("draw", rows, total))
+    described = some.mapInArrow(describe, "draw long, target double, columns array<int>, values array<float>")
+    sample = described.orderBy("draw", "columns").limit(rows).select("target", "columns", "values")
     (row,) = sample.coalesce(1).mapInArrow(learn, "weights binary").limit(1).collect()
     return Model(labellers, np.frombuffer(row["weights"]))
 
@@ -285,6 +303,7 @@ def score(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = model.weights
 
+    @releasing
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, run in texts(batches):
             found = scores(run, weights)
