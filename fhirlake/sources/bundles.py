@@ -25,7 +25,7 @@ FILE_PATTERN = "*.json"
 SKIPPED_PREFIXES = ("hospitalInformation", "practitionerInformation")
 UNKNOWN_TYPE = "Unknown"
 
-_ENTRY = "pos:int,full_url:string,resource_type:string,resource:string"
+_ENTRY = "pos:int,full_url:string,resource_type:string,resource:string,linked:string"
 
 # Partition of a staged ingest that holds one row per bundle instead of resources.
 BUNDLE_ROW = "_bundle"
@@ -200,6 +200,7 @@ def _unnested(decoded: DataFrame, *others: Column) -> DataFrame:
             e["fullUrl"].alias("full_url"),
             F.get_json_object(e["resource"], "$.resourceType").alias("resource_type"),
             e["resource"].alias("resource"),
+            F.lit(None).cast("string").alias("linked"),
         ),
     )
     none = F.array().cast(f"array<struct<{_ENTRY}>>")
@@ -216,11 +217,11 @@ def _unnested(decoded: DataFrame, *others: Column) -> DataFrame:
         same = F.filter("medications", lambda m: m["id"] == wanted)
         return F.try_element_at(same, F.lit(-1))["resource"]
 
-    some = F.size("medications") > 0
     with_links = F.transform(
-        "entries", lambda r: r.withField("linked", F.when(some & (r["resource_type"] == "MedicationRequest"), linked(r)))
+        "entries", lambda r: r.withField("linked", F.when(r["resource_type"] == "MedicationRequest", linked(r)))
     )
-    return rows.withColumn("all", with_links).drop("entries", "medications")
+    every = F.when(F.size("medications") > 0, with_links).otherwise(F.col("entries"))
+    return rows.withColumn("all", every).drop("entries", "medications")
 
 
 def explode_entries(decoded: DataFrame) -> DataFrame:
