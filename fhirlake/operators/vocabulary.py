@@ -17,8 +17,8 @@ from fhirlake.sources.shared import through_table
 
 #: A side of a join is sent to all tasks up to so many bytes of strings, measured before.
 BROADCAST_BYTES = 16 << 20
-#: Words are found by a part of so many characters.
-GRAM = 3
+#: Words are found by a part of so many characters: the most that the word has, so at least half of it up to 48.
+GRAMS = (1, 2, 3, 6, 12, 24)
 
 
 def _best(rules: DataFrame, key: str) -> DataFrame:
@@ -79,27 +79,33 @@ def by_suffix(df: DataFrame, column: str, rules: DataFrame, name: str, default:
 def _grams(text: Column, size: Column | int) -> Column:
     n = F.lit(size) if isinstance(size, int) else size
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n)))
+    # eight bytes however long a part is; texts that meet a word by equal hashes are searched for it all the same
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, n))))
+
+
+def _part_size(word: Column) -> Column:
+    return F.array_max(F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length(word)))
 
 
 def by_substring(df: DataFrame, column: str, rules: DataFrame, name: str, default: str | None = None) -> DataFrame:
     """`df` with `name`: the label of a word that occurs anywhere in the text (`word`, `label`, `priority`), else `default`.
 
-    Each word is posted under one of its parts of `GRAM` characters, that which fewest texts hold (a shorter word under
-    itself). A text is looked up with its own parts, and only words that share one are searched for in it. Words overlap freely. An empty word
-    fits every text that is not NULL.
+    Each word is posted under one of its parts of a size in `GRAMS`, the largest that it has, and of these that which fewest
+    texts hold. A text is looked up with its own parts of all sizes in use, and only words that share one are searched for in it. Parts
+    grow with the words: of one size, however rare, they would be shared by ever more words and texts as both tables grow. Words
+    overlap freely. An empty word fits every text that is not NULL.
     """
     best = through_table(_best(rules.withColumn("word", F.lower("word")), "word"), "vocabulary-rules")
-    sizes = [r[0] for r in best.select(F.least(F.length("word"), F.lit(GRAM))).distinct().collect()]  # four numbers at most
-    if not sizes:
+    if best.isEmpty():
         return df.withColumn(name, F.lit(default).cast("string"))
+    sizes = [r[0] for r in best.filter("word <> ''").select(_part_size(F.col("word"))).distinct().collect()]  # of `GRAMS`
     values = _values(df, column)
-    none = F.array().cast("array<string>")
-    own = F.concat(none, *(F.coalesce(_grams(F.col("__text"), n), none) for n in sizes if n))
+    none = F.array().cast("array<bigint>")
+    own = F.concat(none, *(F.coalesce(_grams(F.col("__text"), n), none) for n in sizes))
     parts = through_table(values.select("__value", F.explode(own).alias("gram")), "vocabulary-grams")
 
-    used = best.select("word", F.explode(_grams(F.col("word"), F.least(F.length("word"), F.lit(GRAM)))).alias("gram"))
-    used = through_table(used.filter("word <> ''"), "vocabulary-posted")
+    used = best.filter("word <> ''").select("word", F.explode(_grams(F.col("word"), _part_size(F.col("word")))).alias("gram"))
+    used = through_table(used, "vocabulary-posted")
     held = parts.join(_small(used.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = Window.partitionBy("word").orderBy("texts", "gram")
     posted = used.join(held, "gram").withColumn("place", F.row_number().over(rarest)).filter("place = 1")

@@ -74,3 +74,28 @@ def test_first_of(spark):
     assert found.columns == [*df.columns, "found"]
     assert sorted(tuple(r) for r in found.select("n", "found").collect()) == [(1, "by code"), (2, "by kind"), (3, "none")]
     assert found.filter(F.col("found") == "none").count() == 1
+
+
+def test_words_meet_few_texts_without_them(spark, monkeypatch):
+    """Numbered words share all their short parts with each other, so short parts would pair nearly everything."""
+    written = {}
+
+    def keep(df, purpose):
+        written[purpose] = through_table(df, purpose)
+        return written[purpose]
+
+    through_table = vocabulary.through_table
+    monkeypatch.setattr(vocabulary, "through_table", keep)
+    numbers = range(10_000, 13_000)
+    df = spark.createDataFrame([(n, f"a Drug {n} mg") for n in numbers], "n int, t string")
+    rules = spark.createDataFrame([(f"dRUG {n}", f"label {n}", 1) for n in numbers], "word string, label string, priority int")
+    assert vocabulary.by_substring(df, "t", rules, "found").filter("found = concat('label ', n)").count() == 3000
+    assert written["vocabulary-grams"].join(written["vocabulary-posted"], "gram").count() < 10 * 3000
+
+
+def test_words_of_every_length(spark):
+    rng = random.Random(3)
+    rules = [("".join(rng.choices("abc", k=n)), f"label {n}", n % 4) for n in range(1, 60) for _ in range(3)]
+    texts = [(n, "".join(rng.choices("abc", k=n % 5)) + rng.choice(rules)[0].upper() + "b") for n in range(300)]
+    how, key, fits = KINDS[2]
+    assert mine(spark, how, texts, rules, key) == brute(texts, rules, fits, "other")
