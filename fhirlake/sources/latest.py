@@ -11,6 +11,9 @@ from fhirlake.operators.dedupe import latest_by
 from fhirlake.sources.shared import through_table
 
 BUCKET = "_bucket"
+#: A bucket of more rows is merged, and written, in several parts of about so many.
+PART_ROWS = 1 << 20
+_PART = "_bucket_part"
 
 
 def _bucketed(rows: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
@@ -47,23 +50,26 @@ def merge_latest(
     """Brings the batch's rows into the table; returns the buckets that were rewritten.
 
     Same rows as `latest_by` over all batches so far, in any order of the batches and however often one is repeated. It
-    reads the batch and the buckets that have keys of it, and writes those alone. The merged rows are complete in the shared
+    reads the batch and the buckets that have keys of it, and writes those alone. The merged rows are complete in the writer's staging
     folder before they replace the buckets, so a job that fails on the way leaves the table as it was; a repeated call mends buckets that a
     failure during the replacement left out.
     """
     spark = batch.sparkSession
     keys, buckets = _properties(spark, table)
     columns = [c for c in spark.table(table).columns if c != BUCKET]
-    fresh = through_table(_bucketed(batch.select(*columns), keys, buckets), "latest-batch")
+    given = _bucketed(batch.select(*columns), keys, buckets)
+    fresh = through_table(latest_by(given, [BUCKET, *keys], order, tiebreak), "latest-batch", compression="zstd")
     touched = sorted(r[0] for r in fresh.select(BUCKET).distinct().collect())  # numbers below `buckets`
     if not touched:
         return []
-    old = spark.table(table).filter(F.col(BUCKET).isin(touched))
-    rows = merged(old.select(*columns, BUCKET), fresh, [BUCKET, *keys], order, tiebreak)
-    rows = through_table(rows.hint("rebalance", F.col(BUCKET)), "latest-merged", BUCKET)
+    old = spark.table(table).filter(F.col(BUCKET).isin(touched)).select(*columns, BUCKET)
+    # Two rows of a key at most. They are dealt out once, by bucket and part of it, ranked there and written from there.
+    parts = -(-(fresh.count() + old.count()) // (len(touched) * PART_ROWS))
+    both = old.unionByName(fresh).withColumn(_PART, F.pmod(F.xxhash64(*keys), F.lit(parts)))
+    rows = latest_by(both.repartition(BUCKET, _PART), [BUCKET, _PART, *keys], order, tiebreak)
     location = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").first()["data_type"]
     # by path, where the mode is a setting of this write and not of the session
-    writer = rows.select(*columns, BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = rows.select(*columns, BUCKET).write.mode("overwrite").options(partitionOverwriteMode="dynamic", compression="zstd")
     writer.partitionBy(BUCKET).parquet(location)
     parts = " ".join(f"PARTITION ({BUCKET} = {n})" for n in touched)
     spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {parts}")

@@ -65,6 +65,28 @@ def test_merging_moves_one_row_per_key_of_the_batch(spark):
     assert plan.count("WindowGroupLimit") >= 2
 
 
+def test_a_merge_writes_the_batch_and_the_buckets_once(spark, table, monkeypatch):
+    written, given = [], latest.through_table
+    monkeypatch.setattr(latest, "through_table", lambda df, purpose, *a, **b: written.append(purpose) or given(df, purpose, *a, **b))
+    rows = [(f"k{n % 150}", n, at(1 + n % 9), "one") for n in range(600)]
+    latest.merge_latest(table, spark.createDataFrame(rows, SCHEMA))
+    assert written == ["latest-batch"]
+
+
+def test_large_buckets_are_merged_in_parts(spark, table, monkeypatch):
+    monkeypatch.setattr(latest, "PART_ROWS", 5)
+    rows = [(f"k{n % 150}" if n % 7 else None, n, at(1 + n % 9), f"b{n}") for n in range(600)]
+    for some in (rows[:400], rows[300:], rows[:10]):
+        latest.merge_latest(table, spark.createDataFrame(some, SCHEMA))
+    expected = latest_by(spark.createDataFrame(rows, SCHEMA), "k")
+    assert sorted(map(str, latest.latest(spark, table).collect())) == sorted(map(str, expected.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # would put such small parts in one task
+    latest.merge_latest(table, spark.createDataFrame(rows, SCHEMA))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.table(table).groupBy("_bucket").agg(F.countDistinct("_metadata.file_path").alias("n"))
+    assert files.agg(F.max("n")).first()[0] > 1
+
+
 def test_a_lost_row_made_up_by_a_doubled_one_is_a_mismatch(spark):
     names = schemas.RECORDS["conditions"].names
     source = spark.createDataFrame([tuple(f"{c}{n}" if c != "code" or n else None for c in names) for n in range(4)], ", ".join(f"{c} string" for c in names))
