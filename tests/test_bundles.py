@@ -369,3 +369,12 @@ def test_variants_give_the_same_diagnostics(staged, rows):
     for diagnose in (inspect.observation_shapes, inspect.unvalued_codes, inspect.unvalued_fields, inspect.medication_forms, inspect.component_counts):
         assert rows(diagnose(parsed_once)) == rows(diagnose(staged.resources)), diagnose.__name__
     assert inspect.find_resource(parsed_once, "Patient", "p1").count() == 1
+
+
+def test_documents_are_made_in_all_tasks(spark, tmp_path):
+    from bindings import documents
+
+    spark.range(1000).selectExpr("id AS c_custkey").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    made = documents.bundles(spark, str(tmp_path), "customer")
+    filled = made.groupBy(F.spark_partition_id()).count()
+    assert filled.count() >= spark.sparkContext.defaultParallelism and made.count() == 1000
