@@ -145,6 +145,19 @@ def column_test_report(tables: Mapping[str, DataFrame], tests: Sequence[ColumnTe
     return reduce(DataFrame.unionByName, parts)
 
 
+def tested_columns(tests: Sequence[ColumnTest]) -> dict[str, list[str]]:
+    """Per table the columns that `column_test_report` reads, parents' keys among them.
+
+    A table that is written for the tests alone needs no others. A ``where`` is taken to read its test's own column.
+    """
+    read: dict[str, dict[str, None]] = {}
+    for test in tests:
+        read.setdefault(test.model, {})[test.column] = None
+        if test.parent is not None:
+            read.setdefault(test.parent[0], {})[test.parent[1]] = None
+    return {model: list(columns) for model, columns in read.items()}
+
+
 @dataclass(frozen=True)
 class Check:
     """A scalar that has to lie within bounds.

@@ -77,6 +77,16 @@ class Bounds:
     diabetes_treatment_rate: tuple[float, float] = (0.62, 0.72)
 
 
+# What `distribution_checks` reads of each model; a table that is written for the checks alone needs no other columns.
+CHECKED_COLUMNS: dict[str, tuple[str, ...]] = {
+    "silver_patients": ("patient_id",),
+    "silver_encounters": ("encounter_id",),
+    "silver_conditions": ("patient_id", "clinical_category", "condition_flag", "is_billable_diagnosis"),
+    "silver_medications": ("patient_id", "medication_flag"),
+    "silver_observations": ("observation_kind", "is_plausible_value"),
+}
+
+
 def _share(condition):
     return F.try_divide(F.count_if(condition).cast("double"), F.count(F.lit(1)))
 

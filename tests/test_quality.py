@@ -123,3 +123,16 @@ def test_contract_size():
 
 def test_suite_size(spark):
     assert len(contract.distribution_checks()) == 14
+
+
+def test_tables_for_tests_and_checks_hold_what_is_read_alone(spark):
+    from bindings import models, shapes
+    from bindings.registry import Data
+
+    tests = [quality.ColumnTest("a", "x", quality.NOT_NULL), quality.ColumnTest("a", "x", quality.FOREIGN_KEY, parent=("b", "y"))]
+    assert quality.tested_columns(tests) == {"a": ["x"], "b": ["y"]}
+    d = Data(spark, "/root/testdata/sf0.001")
+    written = models._tables(d), models._suite_tables(d)
+    for tables, read in zip(written, (quality.tested_columns(contract.COLUMN_TESTS), contract.CHECKED_COLUMNS)):
+        assert {name: df.columns for name, df in tables.items()} == {name: list(read[name]) for name in tables}
+        assert len(tables) == len(shapes.SHAPES)
