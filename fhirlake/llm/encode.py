@@ -25,9 +25,9 @@ import tiktoken
 
 from fhirlake.llm.spans import RangeHash, process_cache, text_bytes
 
-# Longer pieces are encoded each time they come, so that the dictionary's size is bounded.
+# Longer pieces are encoded each time they come, so that the dictionary's size is bounded. It outlives the task.
 LONGEST_KEPT = 64
-MOST_KEPT = 200_000
+MOST_KEPT = 100_000
 BATCH_BYTES = 1 << 20
 # Fixed value: the pre-tokenizer's published pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -122,7 +122,7 @@ class Encoder:
                     "plain", pat_str=PATTERN, mergeable_ranks=known, special_tokens={}
                 )
         self.cut, self.fast = cache[path, "cut"], cache[path, "fast"]
-        self.kept: dict[bytes, list[int]] = cache.setdefault((path, "kept"), {})
+        self.kept: dict[bytes, bytes] = cache.setdefault((path, "kept"), {})
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         """By the tokenizer, in calls of bounded size: an encoding takes far more room than its text."""
@@ -148,13 +148,14 @@ class Encoder:
 
     def _others(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         missing = [p for p in pieces if p not in self.kept]
-        fresh = dict(zip(missing, self._library([p.decode() for p in missing])))
+        found = self._library([p.decode() for p in missing])
+        fresh = {p: np.asarray(i, np.uint32).tobytes() for p, i in zip(missing, found)}  # lists take several times the room
         ids = [fresh[p] if p in fresh else self.kept[p] for p in pieces]
         if len(self.kept) > MOST_KEPT:
             self.kept.clear()
         self.kept.update((p, i) for p, i in fresh.items() if len(p) <= LONGEST_KEPT)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        return lengths, np.fromiter((i for piece in ids for i in piece), np.uint32, int(lengths.sum()))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return lengths, np.frombuffer(b"".join(ids), np.uint32)
 
     def batch(self, column: pa.Array, with_ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Ids per text of a string column without nulls, and all ids one after the other."""

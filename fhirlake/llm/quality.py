@@ -23,8 +23,8 @@ SYMBOLS = b"#$%&*!|<>{}[]~^=+\\_@`"
 
 #: The scorer is fitted on so many documents; statistics of the labellers cover all.
 TRAIN_ROWS = 5_000
-#: Features take some hundred bytes for each byte of text.
-RUN_BYTES = 1 << 19
+#: Features take some hundred bytes for each byte of text, in every worker of an executor.
+RUN_BYTES = 1 << 17
 WORD_FEATURES, SHAPE_FEATURES = 1 << 15, 1 << 12
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
@@ -323,10 +323,12 @@ def keep_good(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame:
     weights = train(docs, text=text, **settings).weights
 
     @F.arrow_udf("boolean")
-    def good(column: pa.Array) -> pa.Array:
-        pair = pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], names=["none", "text"])
-        kept = [scores(run, weights) >= 0.5 for _, run in texts([pair])]
-        return pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
+    @releasing
+    def good(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            pair = pa.RecordBatch.from_arrays([pa.nulls(len(column)), column], names=["none", "text"])
+            kept = [scores(run, weights) >= 0.5 for _, run in texts([pair])]
+            yield pa.array(np.concatenate(kept) if kept else np.empty(0, bool))
 
     # only the texts go to Python, the other columns stay where they are
     return docs.filter(good(F.coalesce(F.col(text), F.lit(""))))

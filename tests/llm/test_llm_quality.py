@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import SF_MORE
 
 from fhirlake.llm import quality
@@ -63,3 +64,9 @@ def test_empty_table(table):
     none = table([], "doc_id long, text string")
     assert quality.score(none, quality.train(none)).count() == 0
     assert quality.keep_good(none).count() == 0
+
+
+def test_features_are_made_of_small_runs():
+    batch = pa.RecordBatch.from_arrays([pa.nulls(4000), pa.array(["some words of a text " * 20] * 4000)], names=["none", "text"])
+    runs = [run for _, run in quality.texts([batch])]
+    assert sum(run.n for run in runs) == 4000 and max(len(run.raw) for run in runs) <= 1 << 17
